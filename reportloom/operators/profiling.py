@@ -6,6 +6,8 @@ a single pass and pre-aggregated before its shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reportloom.functions.scalars import as_date, as_number, strip_text
@@ -16,6 +18,8 @@ ENUM_LIMIT = 12
 TYPE_SHARE = 0.9
 KEY_MINIMUM = 3
 DATE_FORMATS = ("yyyy/M/d",)
+# Only full dates count: codes such as 12-3 would otherwise pass for dates.
+DATE_SHAPE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 
 # Words in a table's name that mark it as a fact table.
 FACT_WORDS = (
@@ -49,12 +53,13 @@ def profile(df: DataFrame) -> DataFrame:
     freq = value_frequencies(df)
     number = as_number(F.regexp_replace("value", ",", ""))
     present = F.col("value").isNotNull()
+    dated = F.when(F.col("value").rlike(DATE_SHAPE), as_date(F.col("value"), DATE_FORMATS))
     stats = freq.groupBy("column_name").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(present, F.col("n")).otherwise(0)).alias("non_null"),
         F.count("value").alias("distinct_count"),
         F.sum(F.when(number.isNotNull(), F.col("n")).otherwise(0)).alias("numbers"),
-        F.sum(F.when(as_date(F.col("value"), DATE_FORMATS).isNotNull(), F.col("n")).otherwise(0)).alias("dates"),
+        F.sum(F.when(dated.isNotNull(), F.col("n")).otherwise(0)).alias("dates"),
         F.min(number).alias("low"),
         F.max(number).alias("high"),
     )
@@ -110,36 +115,51 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [
         profile(df).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row count per table: table_name, rows."""
+    parts = [
+        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def guess_entities(profiles: DataFrame) -> DataFrame:
-    """fact or dim per table: by words in its name, else the largest table is the fact."""
-    sizes = profiles.groupBy("table_name").agg(F.max("rows").alias("rows"))
+def guess_entities(sizes: DataFrame) -> DataFrame:
+    """fact or dim per table: by words in its name, else the largest table (among
+    equals the first by name) is the fact. `sizes` has table_name and rows, one row
+    per table, so the list of all tables is small and is gathered once."""
     named = F.lower("table_name").rlike("|".join(FACT_WORDS))
-    any_named = sizes.select(F.max(named)).scalar()
-    # The largest table; among equals the first by name.
-    largest = sizes.select(
-        F.min_by("table_name", F.struct(-F.col("rows"), F.col("table_name")))
-    ).scalar()
-    chosen = F.when(any_named, named).otherwise(F.col("table_name") == largest)
-    return sizes.select("table_name", "rows", F.when(chosen, "fact").otherwise("dim").alias("entity"))
+    listed = sizes.agg(
+        F.collect_list(F.struct("table_name", "rows", named.alias("named"))).alias("tables"),
+        F.max(named).alias("any_named"),
+        F.min_by("table_name", F.struct(-F.col("rows"), F.col("table_name"))).alias("largest"),
+    )
+    fact = F.when(F.col("any_named"), F.col("named")).otherwise(
+        F.col("table_name") == F.col("largest")
+    )
+    return listed.select("any_named", "largest", F.inline("tables")).select(
+        "table_name", "rows", F.when(fact, "fact").otherwise("dim").alias("entity")
+    )
 
 
 def suggest_joins(profiles: DataFrame, entities: DataFrame) -> DataFrame:
-    """Fact columns named like the likely key of a dimension: fact, column_name, dim."""
-    kinds = entities.select("table_name", "entity")
-    known = profiles.select("table_name", "column_name", "likely_key").join(kinds, "table_name")
-    facts = known.where(F.col("entity") == "fact").select(
-        F.col("table_name").alias("fact"), "column_name"
+    """Fact columns named like the likely key of a dimension: fact, column_name, dim.
+    Both sides come from one reading of the profiles, whose size is that of the
+    catalogue, not of the data."""
+    known = profiles.select("table_name", "column_name", "likely_key").join(
+        entities.select("table_name", "entity"), "table_name"
     )
-    dims = known.where((F.col("entity") == "dim") & F.col("likely_key")).select(
-        F.col("table_name").alias("dim"), "column_name"
+    is_fact = F.col("entity") == "fact"
+    key_of_dim = (F.col("entity") == "dim") & F.col("likely_key")
+    shared = known.groupBy("column_name").agg(
+        F.collect_list(F.when(is_fact, F.col("table_name"))).alias("facts"),
+        F.collect_list(F.when(key_of_dim, F.col("table_name"))).alias("dims"),
     )
-    return facts.join(dims, "column_name").select("fact", "column_name", "dim")
+    pairs = shared.select("column_name", "dims", F.explode("facts").alias("fact"))
+    return pairs.select("fact", "column_name", F.explode("dims").alias("dim"))
 
 
 def profile_summary(entities: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def attach(fact: DataFrame, dimension: DataFrame, join: Join) -> DataFrame:
     # The salt is a hash of the whole row, so a task that runs again gives the
     # same rows. NULL keys match nothing but are spread as well.
     salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*fact.columns), F.lit(join.spread)))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(join.spread - 1)))
-    right = right.withColumn("__copy", copies.cast("bigint"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(join.spread - 1).cast("bigint"))
+    right = right.withColumn("__copy", F.explode(copies))
     condition = condition & (F.col("__salt") == F.col("__copy"))
     return salted.join(right, condition, join.how).drop(key, "__salt", "__copy")
 

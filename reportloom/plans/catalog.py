@@ -608,19 +608,20 @@ def scalar_functions(spark, sf_dir):
             F.sum("a").alias("a"),
             F.count_if("b").alias("b"),
             F.max("t").alias("t"),
-            F.round(F.sum(F.col("u").cast("decimal(18,6)")).cast("double"), 2).alias("u"),
+            F.sum(F.col("u").cast("decimal(18,6)")).alias("u"),
         )
     )
 
 
 # -- governance --------------------------------------------------------------
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger of two runs: the events first, then the lines."""
+    """The stored ledger after two runs: the events first, then the lines."""
+    layers = Layers(spark, shared_folder(spark, "layers"))
     events = contracts.violations(declared_events(spark, sf_dir), EVENT_FEED)
+    layers.append_ledger(contracts.ledger_rows(events, "run-1"))
     lines = contracts.violations(declared_lines(spark, sf_dir), LINE_FEED)
-    return contracts.ledger_rows(events, "run-1").unionByName(
-        contracts.ledger_rows(lines, "run-2")
-    )
+    layers.append_ledger(contracts.ledger_rows(lines, "run-2"))
+    return layers.ledger()
 
 
 @query
@@ -727,21 +728,21 @@ def named_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @query
 def join_suggest(spark, sf_dir):
-    profiles = profiling.profile_tables(named_tables(spark, sf_dir))
-    return profiling.suggest_joins(profiles, profiling.guess_entities(profiles))
+    tables = named_tables(spark, sf_dir)
+    entities = profiling.guess_entities(profiling.table_sizes(tables))
+    return profiling.suggest_joins(profiling.profile_tables(tables), entities)
 
 
 @query
 def guess_entities(spark, sf_dir):
-    return profiling.guess_entities(profiling.profile_tables(named_tables(spark, sf_dir)))
+    return profiling.guess_entities(profiling.table_sizes(named_tables(spark, sf_dir)))
 
 
 @query
 def profile_summary(spark, sf_dir):
-    profiles = profiling.profile_tables(
-        {n: table(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer")}
-    )
-    return profiling.profile_summary(profiling.guess_entities(profiles))
+    names = ("region", "nation", "supplier", "customer")
+    sizes = profiling.table_sizes({n: table(spark, sf_dir, n) for n in names})
+    return profiling.profile_summary(profiling.guess_entities(sizes))
 
 
 # -- comparison --------------------------------------------------------------

@@ -24,8 +24,8 @@ LINE_FEED = Source(
         Field("Discount", "discount", "decimal", range=(0, 0.09), default=0),
     ),
     problems={
-        "row_drop_ratio": {"max": 0.01, "level": "yellow"},
-        "type_coerce_ratio": {"max": 0.05, "level": "red"},
+        "row_drop_ratio": {"max": 0.005, "level": "yellow"},
+        "type_coerce_ratio": {"max": 0.03, "level": "red"},
     },
 )
 

@@ -199,7 +199,11 @@ def column_profile(relation: str, column: str, table: str | None = None) -> str:
     """Profile of one column, written column by column."""
     named = f"'{table}' AS table_name, " if table else ""
     number = NUMBER_TEXT.format(c="replace(v, ',', '')")
-    date = DATE_TEXT.format(c="v")
+    date = (
+        r"CASE WHEN regexp_matches(v, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}') THEN "
+        + DATE_TEXT.format(c="v")
+        + " END"
+    )
     return f"""SELECT {named}'{column}' AS column_name, type, rows,
       round(CAST(rows - nn AS DOUBLE) / rows * 100, 1) AS null_pct, distinct_count,
       distinct_count = nn AND nn > 0 AND (type <> 'string' OR nn >= 3) AS likely_key,
@@ -402,13 +406,13 @@ ORACLES: dict[str, str] = {
             "FROM (SELECT 1 FROM lines GROUP BY order_key HAVING count(*) > 1)"
         ]
     ),
-    "row_drop_ratio": feed_problem("row_drop_ratio", "yellow", "doc_no IS NULL", 0.01),
+    "row_drop_ratio": feed_problem("row_drop_ratio", "yellow", "doc_no IS NULL", 0.005),
     "type_coerce_ratio": f"""WITH {FEED}, s AS (
       SELECT count(*) AS n, count_if({unparsed('quantity', 'number')})
         + count_if({unparsed('ship_date', 'date')}) + count_if({unparsed('price', 'number')}) AS d
       FROM feed)
       SELECT 'line_feed' AS source, '-' AS field, 'type_coerce_ratio' AS rule, 'red' AS level,
-        CAST(0 AS BIGINT) AS cnt, concat(d, ' of ', n) AS sample FROM s WHERE d / n > 0.05""",
+        CAST(0 AS BIGINT) AS cnt, concat(d, ' of ', n) AS sample FROM s WHERE d / n > 0.03""",
     "empty_feeds": """
       SELECT 'event_feed' AS source, '-' AS field, 'empty_file' AS rule, 'yellow' AS level,
         CAST(0 AS BIGINT) AS cnt, 'no data rows' AS sample
@@ -610,7 +614,7 @@ ORACLES: dict[str, str] = {
         CAST(sum(CAST(quantity AS BIGINT)) AS BIGINT) AS k, {amount('sum(abs(price - 50000))')} AS a,
         count_if(return_flag IN ('A', 'R') AND NOT (tax = 0 OR discount > 0.05)) AS b,
         max(trim(CAST(order_key AS VARCHAR))) AS t,
-        round({amount('sum(price) * -0.75')}, 2) AS u
+        {amount('sum(price) * -0.75')} AS u
       FROM x GROUP BY w, date_trunc('quarter', ship_date)""",
     "pending_queue": f"""WITH {TWO_RUNS} SELECT run_id, {LEDGER_COLUMNS} FROM ledger
       WHERE run_id = 'run-2' ORDER BY source, field, rule""",
