@@ -16,11 +16,15 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+BLANK_EDGE = r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]$"
 
 
 def strip_text(column: Column) -> Column:
-    """Text without surrounding white space (full-width blanks too); empty is NULL."""
-    return F.nullif(F.btrim(column, F.lit(WHITESPACE)), F.lit(""))
+    """Text without surrounding white space (full-width blanks too); empty is NULL.
+    Cells are only trimmed where the first or last character is blank, since trimming
+    against the whole list is slow."""
+    trimmed = F.btrim(column, F.lit(WHITESPACE))
+    return F.nullif(F.when(column.rlike(BLANK_EDGE), trimmed).otherwise(column), F.lit(""))
 
 
 def as_number(column: Column) -> Column:
@@ -38,7 +42,8 @@ def as_integer(column: Column, strict: bool = False) -> Column:
     whole = F.bround(number, 0)
     if strict:
         whole = F.when(whole == number, whole)
-    return whole.try_cast("bigint")
+    # Plain digits need no exact decimal.
+    return F.coalesce(column.try_cast("bigint"), whole.try_cast("bigint"))
 
 
 def as_date(column: Column, formats: tuple[str, ...] = ()) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
 from reportloom.operators import cleaning, contracts, problems, recon
 from reportloom.operators.contracts import LEDGER
@@ -28,7 +28,7 @@ NODE_SCHEMA = (
     "run_id string, node string, status string, failures bigint, message string, "
     "started_at timestamp, ended_at timestamp"
 )
-PARALLEL_REPORTS = 4
+PARALLEL = 4
 BLOCKING = ("error", "fail", "skipped")
 
 
@@ -111,36 +111,44 @@ def ingest_feed(feed: DataFrame, source: Source, layers: Layers) -> list[tuple]:
     return found
 
 
+def ingest_source(
+    spark: SparkSession, source: Source, hit: Row | None, layers: Layers
+) -> list[tuple]:
+    """Findings of one feed, whatever happens to it."""
+    try:
+        if hit is None:
+            level = problems.problem_level(source, "file_missing")
+            detail = f"nothing fits {source.file_patterns}"
+            return [problems.problem(source.name, "file_missing", level, detail)]
+        feed = read_feed(spark, hit["path"], hit["length"], source.encodings)
+        return ingest_feed(feed, source, layers)
+    except ReadFailed as failure:
+        return [problems.problem(source.name, "read_failed", "red", str(failure))]
+    except Exception as failure:  # noqa: BLE001 - recorded, and the run turns red
+        detail = f"{type(failure).__name__}: {failure}"
+        return [problems.problem(source.name, "ingest_crashed", "red", detail)]
+
+
 def ingest(
     spark: SparkSession, model: ReportModel, inbox: str, layers: Layers, record: RunRecord
 ) -> None:
-    """All feeds of a model. One that crashes does not stop the others."""
+    """All feeds of a model, several at a time. One that crashes does not stop the
+    others."""
     sources = list(model.sources.values())
     found = discover(list_files(spark, inbox), sources)
-    record.findings += [tuple(r) for r in ignored_matches(found).collect()]
+    hits = [tuple(r) for r in ignored_matches(found).collect()]
+    record.findings += hits
     chosen = {r["source"]: r for r in found.where("chosen").collect()}
-    for source in sources:
-        began = _now()
-        try:
-            if source.name not in chosen:
-                level = problems.problem_level(source, "file_missing")
-                rows = [
-                    problems.problem(
-                        source.name, "file_missing", level, f"nothing fits {source.file_patterns}"
-                    )
-                ]
-            else:
-                hit = chosen[source.name]
-                feed = read_feed(spark, hit["path"], hit["length"], source.encodings)
-                rows = ingest_feed(feed, source, layers)
-        except ReadFailed as failure:
-            rows = [problems.problem(source.name, "read_failed", "red", str(failure))]
-        except Exception as failure:  # noqa: BLE001 - recorded, and the run turns red
-            text = f"{type(failure).__name__}: {failure}"
-            rows = [problems.problem(source.name, "ingest_crashed", "red", text)]
-        record.findings += rows
-        red = any(r[3] == "red" for r in rows)
-        record.note(f"raw.{source.name}", "error" if red else "success", len(rows), began=began)
+
+    def one(source: Source) -> tuple[dt.datetime, list[tuple]]:
+        return _now(), ingest_source(spark, source, chosen.get(source.name), layers)
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        for source, (began, rows) in zip(sources, pool.map(one, sources)):
+            record.findings += rows
+            red = any(r[3] == "red" for r in rows)
+            status = "error" if red else "success"
+            record.note(f"raw.{source.name}", status, len(rows), began=began)
 
 
 # -- build -------------------------------------------------------------------
@@ -161,8 +169,11 @@ def build(
     """Staging, wide table, match contracts, reports and their reconciliation. A test
     that fails as an error keeps everything that depends on it from being built."""
     tables = {s.name: stage(layers.read("raw", s.name), s) for s in model.sources.values()}
-    for name, df in tables.items():
-        rows = staging_tests(df, model.sources[name]).collect()
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        tested = pool.map(
+            lambda name: staging_tests(tables[name], model.sources[name]).collect(), tables
+        )
+    for rows in tested:
         _tests(
             record,
             rows,
@@ -240,7 +251,7 @@ def build_reports(
     by_depth: dict[int, list[str]] = {}
     for key in model.layers():
         by_depth.setdefault(depth(key), []).append(key)
-    with ThreadPoolExecutor(PARALLEL_REPORTS) as pool:
+    with ThreadPoolExecutor(PARALLEL) as pool:
         for level in sorted(by_depth):
             list(pool.map(one, by_depth[level]))
 
