@@ -68,5 +68,5 @@ def select_declared(df: DataFrame, source: Source) -> DataFrame:
     absent = missing_headers(df, source)
     if absent:
         raise SpecError(f"source {source.name}: headers {absent} are missing")
-    kept = [df[f"`{c}`"] for c in PROVENANCE if c in df.columns]
-    return df.select(*[df[f"`{f.header}`"].alias(f.name) for f in source.fields], *kept)
+    kept = [f"`{c}`" for c in PROVENANCE if c in df.columns]
+    return df.selectExpr(*[f"`{f.header}` as `{f.name}`" for f in source.fields], *kept)

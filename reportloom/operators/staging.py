@@ -6,40 +6,39 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reportloom.operators.contracts import sql_type, with_default
-from reportloom.functions.scalars import MONEY
+from reportloom.operators.contracts import sql_type
 from reportloom.spec import Field, Source
 
 
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def staged(field: Field, kind: str) -> Column:
-    """Cast of an ingested (already typed) column to its staging type. A column that
-    has the type already stays a plain column, so filters on it reach the scan."""
-    column = F.col(field.name)
-    if kind == sql_type(field) and kind != "string":
+def staged(field: Field, kind: str) -> str:
+    """Cast of an ingested (already typed) column to its staging type, as a SQL
+    expression: a table has many columns, and text is the quickest way to hand them
+    over. A column that has its type already stays a plain column, so that filters on
+    it reach the scan."""
+    column, target = f"`{field.name}`", sql_type(field)
+    if field.type == "string":
+        cast = f"trim(cast({column} as string))"
+    elif kind == target:
         cast = column
-    elif field.type == "date":
-        cast = column.try_cast("date")
-    elif field.type == "integer":
-        whole = column if kind in INTEGRAL else F.bround(column, 0)
-        cast = whole.try_cast("bigint")
-    elif field.type == "decimal":
-        cast = column.try_cast(MONEY)
-    elif field.type == "bool":
-        cast = column.try_cast("boolean")
+    elif field.type == "integer" and kind not in INTEGRAL:
+        cast = f"try_cast(bround({column}, 0) as bigint)"
     else:
-        cast = F.trim(column.cast("string"))
-    return with_default(field, cast)
+        cast = f"try_cast({column} as {target})"
+    if field.default is not None:
+        text = str(field.default).replace("\\", "\\\\").replace("'", "\\'")
+        cast = f"coalesce({cast}, cast('{text}' as {target}))"
+    return f"{cast} as {column}"
 
 
 def stage(df: DataFrame, source: Source) -> DataFrame:
     """Typed projection; rows whose required values are absent or unusable go."""
     kinds = dict(df.dtypes)
-    out = df.select(*[staged(f, kinds[f.name]).alias(f.name) for f in source.fields])
-    required = [F.col(f.name).isNotNull() for f in source.fields if f.required]
-    return out.where(reduce(lambda a, b: a & b, required)) if required else out
+    out = df.selectExpr(*[staged(f, kinds[f.name]) for f in source.fields])
+    required = [f"`{f.name}` is not null" for f in source.fields if f.required]
+    return out.where(" and ".join(required)) if required else out
 
 
 def severity(level: str) -> str:

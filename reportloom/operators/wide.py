@@ -24,7 +24,9 @@ MATCH_RULES = ("fanout", "null_match", "orphan_right")
 def attach(fact: DataFrame, dimension: DataFrame, join: Join) -> DataFrame:
     """Joins the declared columns of one dimension to the fact."""
     key = f"__{join.table}_key"
-    right = dimension.select(F.col(join.right).alias(key), *join.columns)
+    right = dimension.selectExpr(
+        f"`{join.right}` as `{key}`", *[f"`{c}`" for c in join.columns]
+    )
     condition = F.col(join.left) == F.col(key)
     if join.spread == 1:
         return fact.join(right, condition, join.how).drop(key)
@@ -42,8 +44,8 @@ def widen(tables: Mapping[str, DataFrame], wide: Wide) -> DataFrame:
     df = tables[wide.main].drop(*wide.drop)
     for join in wide.joins:
         df = attach(df, tables[join.table], join)
-    derived = [F.expr(text).alias(name) for name, text in wide.derived]
-    return df.select("*", *derived) if derived else df
+    derived = [f"{text} as `{name}`" for name, text in wide.derived]
+    return df.selectExpr("*", *derived) if derived else df
 
 
 def union_feeds(

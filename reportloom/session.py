@@ -20,6 +20,9 @@ SETTINGS = {
     # Dimensions are broadcast only while their size stays below this bound.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Feeds with many rules give long generated methods, which the JVM only interprets.
+    # Beyond this size Spark uses its shorter per-operator code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Needed to read GBK files; UTF-8 files do not depend on it.
     "spark.sql.legacy.javaCharsets": "true",
 }
