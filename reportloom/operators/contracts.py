@@ -126,12 +126,23 @@ def violations(df: DataFrame, source: Source) -> DataFrame:
     totals = values.groupBy("rule_no").agg(F.sum("n").alias("cnt"))
     # Ordering by n as well changes nothing, values being distinct within a rule.
     # It keeps n in this branch, so both branches read one shuffled table.
-    first = Window.partitionBy("rule_no").orderBy("value", "n")
-    samples = (
-        values.withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= ENUM_SAMPLE_VALUES)
+    order = Window.partitionBy("rule_no").orderBy("value", "n")
+    firsts = values.withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= ENUM_SAMPLE_VALUES
+    )
+    # A rule now has one total and at most five values, which are put side by side.
+    nothing = F.lit(None).cast("struct<place:int,value:string>")
+    merged = (
+        totals.select("rule_no", "cnt", nothing.alias("first"))
+        .unionByName(
+            firsts.select(
+                "rule_no",
+                F.lit(0).cast("bigint").alias("cnt"),
+                F.struct("place", "value").alias("first"),
+            )
+        )
         .groupBy("rule_no")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("firsts"))
+        .agg(F.sum("cnt").alias("cnt"), F.array_sort(F.collect_list("first")).alias("firsts"))
     )
     described = F.array(
         *[
@@ -151,7 +162,7 @@ def violations(df: DataFrame, source: Source) -> DataFrame:
     sample = F.when(
         about["rule"] == "required", F.lit("empty in a required column, rows dropped")
     ).otherwise(F.substring(shown, 1, SAMPLE_LENGTH))
-    return totals.join(samples, "rule_no").select(
+    return merged.select(
         F.lit(source.name).alias("source"),
         about["field"].alias("field"),
         about["rule"].alias("rule"),
