@@ -50,6 +50,11 @@ def run_history(runs: DataFrame, keep: int = RUNS_KEPT) -> DataFrame:
     return ranked.where(F.col("place") <= keep)
 
 
+def merged_history(runs: DataFrame, keep: int = RUNS_KEPT) -> DataFrame:
+    """The kept runs of all instances in one list, newest first."""
+    return run_history(runs, keep).drop("place").orderBy(F.desc_nulls_last("started_at"))
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     return run_history(runs, 1).drop("place")
 

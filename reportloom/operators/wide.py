@@ -30,9 +30,10 @@ def attach(fact: DataFrame, dimension: DataFrame, join: Join) -> DataFrame:
     condition = F.col(join.left) == F.col(key)
     if join.spread == 1:
         return fact.join(right, condition, join.how).drop(key)
-    # The salt is a hash of the whole row, so a task that runs again gives the
-    # same rows. NULL keys match nothing but are spread as well.
-    salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*fact.columns), F.lit(join.spread)))
+    # The salt is a hash of the row's values, so a task that runs again gives the same
+    # rows. NULL keys match nothing but are spread as well.
+    values = join.spread_by or fact.columns
+    salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*values), F.lit(join.spread)))
     copies = F.sequence(F.lit(0).cast("bigint"), F.lit(join.spread - 1).cast("bigint"))
     right = right.withColumn("__copy", F.explode(copies))
     condition = condition & (F.col("__salt") == F.col("__copy"))

@@ -329,7 +329,10 @@ def wide_left(spark, sf_dir):
 def wide_spread(spark, sf_dir):
     """The same wide table with its first two joins salted against hot keys."""
     joins = tuple(
-        replace(j, spread=4) if j.table in ("orders", "customer") else j for j in SALES.wide.joins
+        replace(j, spread=4, spread_by=("line_no", "ship_date"))
+        if j.table in ("orders", "customer")
+        else j
+        for j in SALES.wide.joins
     )
     tables = staged_tables(spark, sf_dir, SALES)
     return geography_totals(wide_ops.widen(tables, replace(SALES.wide, joins=joins)))

@@ -21,13 +21,9 @@ from reportloom.operators.staging import stage, staging_tests
 from reportloom.operators.wide import match_results, widen
 from reportloom.sources.csv import OVERFLOW, ReadFailed, read_feed
 from reportloom.sources.discovery import discover, ignored_matches, list_files
-from reportloom.sources.layers import Layers
+from reportloom.sources.layers import NODES, RUNS, Layers
 from reportloom.spec import ReportModel, Source
 
-NODE_SCHEMA = (
-    "run_id string, node string, status string, failures bigint, message string, "
-    "started_at timestamp, ended_at timestamp"
-)
 PARALLEL = 4
 BLOCKING = ("error", "fail", "skipped")
 
@@ -57,7 +53,7 @@ class RunRecord:
         return {n[2] for n in self.nodes if n[1].startswith(prefix)}
 
     def node_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.nodes, NODE_SCHEMA)
+        return spark.createDataFrame(self.nodes, NODES)
 
 
 # -- ingest ------------------------------------------------------------------
@@ -267,6 +263,7 @@ def run(
     """A whole run. Any red finding of the ingest keeps the reports as they were."""
     layers = Layers(spark, root)
     record = RunRecord(run_id)
+    began = _now()
     ingest(spark, model, inbox, layers, record)
     gated = record.red
     if not gated:
@@ -279,6 +276,8 @@ def run(
         record.light = "red"
     elif "warn" in states:
         record.light = "yellow"
+    entry = [(model.name, run_id, began, _now(), record.light)]
+    layers.append_run(spark.createDataFrame(entry, RUNS), record.node_frame(spark))
     return record
 
 

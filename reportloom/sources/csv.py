@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,6 +29,11 @@ class TextFacts:
     header: str
 
 
+def literal_path(path: str) -> str:
+    """A file's path with the characters escaped that a reader takes for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def examine(spark: SparkSession, path: str) -> TextFacts:
     """Checks all lines of a file in parallel: are they valid UTF-8, and does a
     quoted cell run over a line end."""
@@ -103,6 +109,7 @@ def read_feed(
         raise ReadFailed("only CSV files are read")
     if length == 0:
         raise ReadFailed("the file has zero bytes")
+    path = literal_path(path)
     facts = examine(spark, path)
     encoding = choose_encoding(spark, path, encodings, facts)
     df = scan_text_table(spark, path, encoding, facts.open_quotes)

@@ -52,7 +52,7 @@ def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
                 F.lit(s.name).alias("source"),
                 F.lit(i).alias("pattern_no"),
                 F.lit(pattern).alias("pattern"),
-                F.lit(fnmatch.translate(pattern)).alias("regex"),
+                F.lit("^" + fnmatch.translate(pattern)).alias("regex"),
             )
             for s in sources
             for i, pattern in enumerate(s.file_patterns)

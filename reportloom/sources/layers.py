@@ -12,6 +12,13 @@ from reportloom.operators.contracts import LEDGER
 
 LAYERS = ("raw", "staging", "intermediate", "marts")
 LEDGER_TABLE = "contract_report"
+RUN_TABLE = "run_history"
+NODE_TABLE = "run_nodes"
+RUNS = "instance string, run_id string, started_at timestamp, ended_at timestamp, status string"
+NODES = (
+    "run_id string, node string, status string, failures bigint, message string, "
+    "started_at timestamp, ended_at timestamp"
+)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -55,10 +62,23 @@ class Layers:
 
     def ledger(self) -> DataFrame:
         """All ledger rows so far; empty before the first run."""
+        return self._log(LEDGER_TABLE, LEDGER)
+
+    def append_run(self, run: DataFrame, nodes: DataFrame) -> None:
+        run.coalesce(1).write.mode("append").parquet(self.path("raw", RUN_TABLE))
+        nodes.coalesce(1).write.mode("append").parquet(self.path("raw", NODE_TABLE))
+
+    def runs(self) -> DataFrame:
+        return self._log(RUN_TABLE, RUNS)
+
+    def nodes(self) -> DataFrame:
+        return self._log(NODE_TABLE, NODES)
+
+    def _log(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(LEDGER).parquet(self.path("raw", LEDGER_TABLE))
+            return self.spark.read.schema(schema).parquet(self.path("raw", name))
         except AnalysisException:
-            return self.spark.createDataFrame([], LEDGER)
+            return self.spark.createDataFrame([], schema)
 
 
 def catalogue(spark: SparkSession, tables: dict[tuple[str, str], DataFrame]) -> DataFrame:

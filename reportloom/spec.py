@@ -74,7 +74,9 @@ class Join:
 
     `spread` above 1 salts the join: every fact key, NULL included, is divided
     over that many tasks and the dimension is copied as often. It is for
-    dimensions too large to broadcast whose fact keys are very uneven.
+    dimensions too large to broadcast whose fact keys are very uneven. `spread_by`
+    names fact columns that tell the rows of a hot key apart; without it the salt is
+    taken from all columns, which then are all read.
     """
 
     table: str
@@ -86,6 +88,7 @@ class Join:
     null_match: str = "yellow"
     orphan_right: str = "ignore"
     spread: int = 1
+    spread_by: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.how not in JOIN_HOWS:

@@ -96,6 +96,13 @@ def test_second_run_gives_the_same_rows_and_appends_to_the_ledger(done, spark):
     assert layers.ledger().count() == 16
     queue = governance.pending_queue(layers.ledger())
     assert {r["run_id"] for r in queue.collect()} == {"run-2"} and queue.count() == 8
+    assert rows(governance.latest_runs(layers.runs()), "run_id", "status") == [("run-2", "yellow")]
+    kept = [r["run_id"] for r in governance.merged_history(layers.runs()).collect()]
+    assert kept == ["run-2", "run-1"]
+    assert rows(governance.traffic_light(layers.nodes())) == [
+        ("run-1", "yellow"),
+        ("run-2", "yellow"),
+    ]
     order = [(r["source"], r["field"], r["rule"]) for r in queue.collect()]
     assert order == sorted(order)
 
@@ -188,6 +195,8 @@ def test_newest_of_several_files_is_taken(spark, tmp_path):
         old = inbox / "门店_202607.csv"
         old.write_text("门店编码,门店名称,城市,大区,开业日期\nS01,a,b,华东,\n")
         os.utime(old, (1_000_000, 1_000_000))
+        # Patterns cover the whole name.
+        (inbox / "旧门店_202609.csv").write_text("x\n1\n")
 
     record, layers = broken_run(spark, tmp_path, change)
     assert record.light == "yellow"
@@ -201,7 +210,9 @@ def test_newest_of_several_files_is_taken(spark, tmp_path):
 def test_gbk_file_is_read(spark, tmp_path):
     def change(inbox):
         path = inbox / "商品_202608.csv"
-        path.write_bytes(path.read_bytes()[3:].decode("utf-8").encode("gbk"))
+        content = path.read_bytes()[3:].decode("utf-8").encode("gbk")
+        path.unlink()
+        (inbox / "商品_[1]{a}.csv").write_bytes(content)
 
     record, layers = broken_run(spark, tmp_path, change)
     assert record.light == "yellow"
