@@ -8,9 +8,9 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportloom.llm import chat, credentials, token_counts, url_vocabulary, warc
-from reportloom.llm import packing
-from reportloom.llm.common import table
+from reportloom.llm import chat, credentials, decision_list, token_counts, url_vocabulary, warc
+from reportloom.llm import packing, pivotal
+from reportloom.llm.common import n_words, table
 from reportloom.llm.url_vocabulary import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +198,29 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<|turn|>' || safe_role || '<|body|>' || safe_text || '<|end|>')) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    """Words that a mix of all sources takes of each document."""
+    sizes = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", n_words(F.col("text")).alias("size")
+    )
+    return pivotal.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_quality(spark, sf_dir):
+    """Statistics of every document, and whether the learned rules keep it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decision_list.judge_by_labels(documents, table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
