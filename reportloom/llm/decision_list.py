@@ -105,19 +105,22 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     def count(pattern: str) -> Column:
         return F.regexp_count("__joined", F.lit(pattern)).cast("long")
 
-    return staged.select(
-        *names,
-        F.size("__words").cast("long").alias("n_words"),
-        F.char_length("__joined").cast("long").alias("word_chars"),
-        count(r"[#*$%&|<>]").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words("__words", "__windows").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        count(r"\p{Lu}").alias("n_upper"),
-        count(r"\d").alias("n_digits"),
-        count(r"[^\p{L}\p{N}]").alias("n_marks"),
-        F.size(F.array_distinct("__words")).cast("long").alias("n_distinct"),
+    counts = (
+        F.size("__words"),
+        F.char_length("__joined"),
+        count(r"[#*$%&|<>]"),
+        F.size("__lines") - F.size(F.array_distinct("__lines")),
+        _repeated_words("__words", "__windows"),
+        F.size("__lines"),
+        count(r"\p{Lu}"),
+        count(r"\d"),
+        count(r"[^\p{L}\p{N}]"),
+        F.size(F.array_distinct("__words")),
     )
+    # A generator of one row: a later filter on a count cannot be moved below it, where
+    # Spark would put all of its expressions in place of the count, and into loops.
+    one_row = F.stack(F.lit(1), *[c.cast("long") for c in counts])
+    return staged.select(*names, one_row.alias(*COUNTS))
 
 
 def with_measures(df: DataFrame) -> DataFrame:
@@ -275,9 +278,7 @@ def labelled_rows(
     # At most fit_rows rows of two numbers.
     sample = texts.join(F.broadcast(chosen), "__id")
     measured = with_measures(with_statistics(sample, "__own")).where(~base_failed())
-    one = measured.groupBy("__id", "__quality").agg(
-        F.min(F.struct(*MEASURES)).alias("m")
-    )
+    one = measured.groupBy("__id", "__quality").agg(F.min(F.struct(*MEASURES)).alias("m"))
     rows = one.select(
         "m.*",
         (F.col("__quality") == 0).cast("int").alias("low"),
