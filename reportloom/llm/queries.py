@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportloom.llm import chat, credentials, decision_list, token_counts, url_vocabulary, warc
-from reportloom.llm import packing, pivotal
+from reportloom.llm import packing, pivotal, syncmers
 from reportloom.llm.common import n_words, table
 from reportloom.llm.url_vocabulary import Rule
 
@@ -224,3 +224,9 @@ def op3_quality(spark, sf_dir):
         "base_failed",
         "kept",
     )
+
+
+@query
+def op1_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and their edited texts, and how near they are."""
+    return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
