@@ -8,7 +8,7 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportloom.llm import chat, credentials, decision_list, token_counts, url_vocabulary, warc
+from reportloom.llm import chat, chosen_path, credentials, decision_list, token_counts, url_vocabulary, warc
 from reportloom.llm import packing, pivotal, syncmers
 from reportloom.llm.common import n_words, table
 from reportloom.llm.url_vocabulary import Rule
@@ -230,3 +230,11 @@ def op3_quality(spark, sf_dir):
 def op1_fingerprints(spark, sf_dir):
     """Fingerprints of all documents and their edited texts, and how near they are."""
     return syncmers.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_near_duplicates(spark, sf_dir):
+    """Components of documents that share 80 percent of their pairs of words."""
+    return chosen_path.near_duplicates(
+        table(spark, sf_dir, "documents"), settings=chosen_path.Settings(words=2)
+    )
