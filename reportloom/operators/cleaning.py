@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reportloom.functions.scalars import strip_text
 from reportloom.spec import Source, SpecError
@@ -29,19 +29,28 @@ def drop_rows_if(df: DataFrame, col: str, op: str) -> DataFrame:
 
 
 def skip_first_rows(df: DataFrame, count: int) -> DataFrame:
-    """Drops the first rows of a single file.
+    """Drops the first rows of every file that the table is read from.
 
-    Row ids follow the order of the file, so the rows to drop are the `count`
-    smallest ids; only those few ids are looked up.
+    Within a file, blocks follow each other and row ids grow within a block. The rows to
+    drop are ranked per file, of which each task hands on `count` at most, and taken out
+    by an anti-join on the row ids.
     """
     if count <= 0:
         return df
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    head = numbered.select("__row").orderBy("__row").limit(count)
-    last = head.agg(F.max("__row").alias("last")).first()["last"]
-    if last is None:
-        return df
-    return numbered.where(F.col("__row") > F.lit(last)).drop("__row")
+    numbered = df.select(
+        "*",
+        F.input_file_name().alias("__file"),
+        F.expr("input_file_block_start()").alias("__block"),
+        F.monotonically_increasing_id().alias("__row"),
+    )
+    by_place = Window.partitionBy("__file").orderBy("__block", "__row")
+    first = (
+        numbered.select("__file", "__block", "__row")
+        .withColumn("__rank", F.row_number().over(by_place))
+        .where(F.col("__rank") <= count)
+        .select("__row")
+    )
+    return numbered.join(first, "__row", "left_anti").drop("__file", "__block", "__row")
 
 
 def clean(df: DataFrame, steps: tuple) -> DataFrame:

@@ -46,9 +46,11 @@ def keyed_diff(
     """Differences between two tables aligned on keys, NULL keys included.
 
     Columns: the keys, kind, column, expected, actual (text), diff. Kinds are
-    missing_key, extra_key, inflation (one key, several rows), null_mismatch, value
-    and percent_literal (a ratio given as a percentage). Rows are counted and
-    reduced per key before the join, so repeated keys cannot multiply.
+    missing_key, extra_key, inflation (one key, several rows), repeated_key (several
+    expected rows, so that none can be held against the other side), null_mismatch,
+    value, percent_literal (a ratio given as a percentage), and, with NULL keys,
+    missing_column and extra_column. Rows are counted and reduced per key before the
+    join, so repeated keys cannot multiply.
     """
     values = [c for c in expected.columns if c not in keys and c in actual.columns]
     numeric = {n for n, kind in expected.dtypes if kind.split("(")[0] in NUMERIC}
@@ -63,6 +65,7 @@ def keyed_diff(
         F.when(absent, "missing_key")
         .when(extra, "extra_key")
         .when(inflated, "inflation")
+        .when(F.col("e.__rows") > 1, "repeated_key")
     )
     findings = [_finding(key_kind, "-", None, None, None)]
     for v in values:
@@ -78,7 +81,21 @@ def keyed_diff(
         ).otherwise(kind)
         findings.append(_finding(kind, v, want, got, F.when(~one_sided, gap)))
     shared = [F.coalesce(f"e.`{k}`", f"a.`{k}`").alias(k) for k in keys]
-    return joined.select(*shared, F.inline(F.array(*findings))).where(F.col("kind").isNotNull())
+    found = joined.select(*shared, F.inline(F.array(*findings)))
+    return found.where(F.col("kind").isNotNull()).unionByName(
+        _column_findings(expected, actual, keys, found)
+    )
+
+
+def _column_findings(
+    expected: DataFrame, actual: DataFrame, keys: list[str], like: DataFrame
+) -> DataFrame:
+    """A row for every column that only one side has."""
+    sides = [(c, "missing_column") for c in expected.columns if c not in actual.columns]
+    sides += [(c, "extra_column") for c in actual.columns if c not in expected.columns]
+    rows = expected.sparkSession.createDataFrame(sides, "column string, kind string")
+    empty = [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns if c not in rows.columns]
+    return rows.select("*", *empty).select(*like.columns)
 
 
 def _finding(kind: Column, column: str, want, got, gap) -> Column:

@@ -17,7 +17,8 @@ def change(current: Column, previous: Column, ratio: bool) -> Column:
 def latest_and_previous(mart: DataFrame, time: str, metrics: dict[str, bool]) -> DataFrame:
     """Last period of a report without further dimensions, the one before and the
     change: metric, period, current, previous, change. `metrics` tells for every
-    metric whether it is a ratio.
+    metric whether it is a ratio. A period with several rows fails the job: such a
+    report has further dimensions and must be aggregated first.
 
     Each task hands on its two newest rows, so nothing is gathered in one place.
     """
@@ -33,6 +34,14 @@ def latest_and_previous(mart: DataFrame, time: str, metrics: dict[str, bool]) ->
             ).alias("rows")
         )
         .where(F.size("rows") > 0)
+        .withColumn(
+            "rows",
+            F.when(
+                F.size(F.array_distinct(F.transform("rows", lambda r: r["period"])))
+                == F.size("rows"),
+                F.col("rows"),
+            ).otherwise(F.raise_error(F.lit("a period has several rows"))),
+        )
         .select(
             F.element_at("rows", -1).alias("current"),
             F.try_element_at("rows", F.when(F.size("rows") > 1, F.lit(1))).alias("previous"),
@@ -54,12 +63,15 @@ def latest_and_previous(mart: DataFrame, time: str, metrics: dict[str, bool]) ->
 
 
 def period_over_period(
-    mart: DataFrame, time: str, dimension: str, metrics: dict[str, bool]
+    mart: DataFrame, time: str, dimensions: list[str], metrics: dict[str, bool]
 ) -> DataFrame:
-    """Every row of a report beside the preceding period of the same dimension value.
-    A window holds one value's periods, whose number the calendar bounds."""
-    history = Window.partitionBy(f"`{dimension}`").orderBy(F.asc_nulls_first(f"`{time}`"))
-    out = [F.col(f"`{time}`"), F.col(f"`{dimension}`")]
+    """Every row of a report beside the preceding period of the same group.
+
+    dimensions: all that the report groups by besides the time, so that a period has one
+    row per group. A window holds one group's periods, whose number the calendar bounds."""
+    dims = [F.col(f"`{d}`") for d in dimensions]
+    history = Window.partitionBy(*dims).orderBy(F.asc_nulls_first(f"`{time}`"))
+    out = [F.col(f"`{time}`"), *dims]
     for m, ratio in metrics.items():
         now = F.col(f"`{m}`")
         before = F.lag(now).over(history)

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reportloom.operators.marts import dimension_column, visible_columns
 from reportloom.spec import ReportModel, SpecError
 
-DEFAULT_LIMIT = 500
+# The most rows that a page of a report can have.
 LARGEST_LIMIT = 5000
-LARGEST_PIVOT = 1000
 
 
 def clamp_limit(limit: int) -> int:
@@ -112,18 +111,25 @@ def query_report(
     mart: DataFrame,
     wide_df: DataFrame | None = None,
     filters: Mapping[str, object] | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Rows of a report: newest period first, then by the second column; limited."""
+    """All rows of a report: newest period first, then by the second column.
+
+    With a limit, one page of it: the first rows, between 1 and LARGEST_LIMIT. A page has
+    a total order, by all further columns as well, so equal queries give equal pages.
+    """
     report = model.report(key)
     mart = mart.select(*[f"`{c}`" for c in visible_columns(model, key)])
     rows = filter_report(model, key, mart, wide_df, filters or {})
+    order, rest = [], rows.columns
     if model.time_dimension(report) is not None:
         time = report.time_dim or report.dimension
-        rows = rows.orderBy(
-            F.desc_nulls_last(f"`{time}`"), F.asc_nulls_last(f"`{rows.columns[1]}`")
-        )
-    return rows.limit(clamp_limit(limit))
+        order = [F.desc_nulls_last(f"`{time}`"), F.asc_nulls_last(f"`{rows.columns[1]}`")]
+        rest = [c for c in rows.columns if c not in (time, rows.columns[1])]
+    if limit is None:
+        return rows.orderBy(*order) if order else rows
+    order += [F.asc_nulls_last(f"`{c}`") for c in rest]
+    return rows.orderBy(*order).limit(clamp_limit(limit))
 
 
 def json_safe(df: DataFrame) -> DataFrame:
@@ -150,13 +156,19 @@ def stable_order(df: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def pivot_report(
-    mart: DataFrame, time: str, dimension: str, metric: str, values: list | None = None
+    mart: DataFrame, time: str, dimension: str, metric: str, values: list
 ) -> DataFrame:
-    """Periods as rows and dimension values as columns. Without given values they
-    are looked up; a report with more series than a chart can hold is refused."""
-    if values is None:
-        found = distinct_values(mart, F.col(f"`{dimension}`"), "value").limit(LARGEST_PIVOT + 1)
-        values = [row["value"] for row in found.collect()]
-        if len(values) > LARGEST_PIVOT:
-            raise SpecError(f"{dimension} has more than {LARGEST_PIVOT} values to pivot")
+    """Periods as rows and the declared dimension values as columns.
+
+    A value that is not declared fails the job, NULL too, so nothing is left out in
+    silence. Where values are not known beforehand, the report itself is the answer.
+    """
+    column = F.col(f"`{dimension}`")
+    known = F.coalesce(column.isin(values), F.lit(False))
+    unknown = F.raise_error(
+        F.concat(F.lit(f"{dimension} has the undeclared value "), F.coalesce(column.cast("string"), F.lit("NULL")))
+    )
+    mart = mart.withColumn(
+        dimension, F.when(known, column).otherwise(unknown.cast(mart.schema[dimension].dataType))
+    )
     return mart.groupBy(F.col(f"`{time}`")).pivot(dimension, values).agg(F.first(f"`{metric}`"))

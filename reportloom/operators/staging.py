@@ -102,5 +102,5 @@ def staging_tests(stage_df: DataFrame, source: Source) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Non-NULL keys that occur more than once, with their number of rows."""
-    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") > 1)
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.where(F.col("__n") > 1)

@@ -9,7 +9,7 @@ keys at run time; `Join.spread` adds salting on top of that.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -40,11 +40,36 @@ def attach(fact: DataFrame, dimension: DataFrame, join: Join) -> DataFrame:
     return salted.join(right, condition, join.how).drop(key, "__salt", "__copy")
 
 
+def folded(tables: Mapping[str, DataFrame], wide: Wide) -> list[tuple[Join, DataFrame]]:
+    """The joins that the fact takes part in, each with its dimension.
+
+    A left join whose key comes from an earlier left join is done within that dimension
+    beforehand. The rows are the same, but the fact is not shuffled by the later key,
+    which is often an uneven one.
+    """
+    joins = list(wide.joins)
+    frames = [tables[j.table].select(*dict.fromkeys((j.right, *j.columns))) for j in joins]
+    for at in reversed(range(len(joins))):
+        join = joins[at]
+        owner = next((i for i in range(at) if join.left in joins[i].columns), None)
+        if owner is None or join.spread != 1:
+            continue
+        before = joins[owner]
+        if {join.how, before.how} != {"left"} or before.right in join.columns:
+            continue
+        frames[owner] = attach(frames[owner], frames[at], join)
+        joins[owner] = replace(before, columns=(*before.columns, *join.columns))
+        joins[at] = None
+    return [(j, f) for j, f in zip(joins, frames) if j is not None]
+
+
 def widen(tables: Mapping[str, DataFrame], wide: Wide) -> DataFrame:
     """Fact with all joins in declared order; a left key may come from an earlier join."""
     df = tables[wide.main].drop(*wide.drop)
-    for join in wide.joins:
-        df = attach(df, tables[join.table], join)
+    order = [*df.columns, *[c for j in wide.joins for c in j.columns]]
+    for join, dimension in folded(tables, wide):
+        df = attach(df, dimension, join)
+    df = df.select(*[f"`{c}`" for c in order])
     derived = [f"{text} as `{name}`" for name, text in wide.derived]
     return df.selectExpr("*", *derived) if derived else df
 
@@ -110,8 +135,8 @@ def match_contracts(wide: Wide) -> list[MatchContract]:
 def fanout_keys(dimension: DataFrame, key: str) -> DataFrame:
     """Keys of a dimension that occur more than once: each would multiply fact rows.
     A NULL key joins nothing, yet its repetition is reported like any other."""
-    counted = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") > 1)
+    counted = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.where(F.col("__n") > 1)
 
 
 def unmatched_keys(fact: DataFrame, left: str, dimension: DataFrame, right: str) -> DataFrame:

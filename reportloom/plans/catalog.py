@@ -421,7 +421,7 @@ def match_contracts(spark, sf_dir):
 
 # -- reports -----------------------------------------------------------------
 def sales_mart(spark: SparkSession, sf_dir: str, key: str, as_of=None) -> DataFrame:
-    return build_mart(SALES, key, wide_table(spark, sf_dir), as_of)
+    return build_mart(SALES, key, wide_table(spark, sf_dir, SALES, key), as_of)
 
 
 def sales_report(key: str, as_of=None, **options) -> Query:
@@ -437,7 +437,7 @@ QUERIES |= {
     "monthly_kpi_report": sales_report("monthly_kpi"),
     "full_period_only": sales_report("full_months", as_of=AS_OF),
     "limit_clamped": sales_report("region_month", limit=0),
-    "grain_week": sales_report("region_week", limit=10**6),
+    "grain_week": sales_report("region_week"),
     "grain_quarter": sales_report("region_quarter"),
     "grain_year": sales_report("region_year"),
     "mart_count_distinct": sales_report("nation_orders"),
@@ -460,7 +460,7 @@ def mart_cond_sum(spark, sf_dir):
 
 def ladder_layer(key: str) -> Query:
     def run(spark, sf_dir):
-        return json_safe(build_stack(LADDER, key, wide_table(spark, sf_dir, LADDER)))
+        return json_safe(build_stack(LADDER, key, wide_table(spark, sf_dir, LADDER, key)))
 
     return run
 
@@ -496,7 +496,7 @@ def filtered(filters: dict, key: str = "region_month") -> Query:
     def run(spark, sf_dir):
         df = wide_table(spark, sf_dir)
         mart = build_mart(SALES, key, df)
-        return json_safe(query_report(SALES, key, mart, df, filters, limit=5000))
+        return json_safe(query_report(SALES, key, mart, df, filters))
 
     return run
 
@@ -533,14 +533,15 @@ def slice_segment(spark, sf_dir):
     return json_safe(query_report(SALES, "region_month", build_mart(SALES, "region_month", part)))
 
 
+# The regions that the chart declares.
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
 @query
 def pivot_month_region(spark, sf_dir):
+    """Revenue per month, a column per declared region."""
     mart = sales_mart(spark, sf_dir, "region_month")
-    regions = report_query.distinct_values(
-        table(spark, sf_dir, "region"), F.col("r_name"), "value"
-    )
-    names = [row["value"] for row in regions.limit(report_query.LARGEST_PIVOT).collect()]
-    return json_safe(report_query.pivot_report(mart, "month", "region", "revenue", names))
+    return json_safe(report_query.pivot_report(mart, "month", "region", "revenue", list(REGIONS)))
 
 
 @query
@@ -569,7 +570,15 @@ def latest_previous(spark, sf_dir):
 def period_over_period(spark, sf_dir):
     mart = sales_mart(spark, sf_dir, "region_month")
     changes = {"revenue": False, "net_rate": True}
-    return json_safe(periods.period_over_period(mart, "month", "region", changes))
+    return json_safe(periods.period_over_period(mart, "month", ["region"], changes))
+
+
+@query
+def period_over_period_rollup(spark, sf_dir):
+    """Change per month of a report with several dimensions."""
+    mart = build_stack(LADDER, "part_month", wide_table(spark, sf_dir, LADDER))
+    dims = [d for d in LADDER.group_dims("part_month") if d != "month"]
+    return json_safe(periods.period_over_period(mart, "month", dims, {"revenue": False}))
 
 
 @query
@@ -618,13 +627,12 @@ def scalar_functions(spark, sf_dir):
 
 # -- governance --------------------------------------------------------------
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored ledger after two runs: the events first, then the lines."""
-    layers = Layers(spark, shared_folder(spark, "layers"))
+    """The ledger after two runs: the events first, then the lines."""
     events = contracts.violations(declared_events(spark, sf_dir), EVENT_FEED)
-    layers.append_ledger(contracts.ledger_rows(events, "run-1"))
     lines = contracts.violations(declared_lines(spark, sf_dir), LINE_FEED)
-    layers.append_ledger(contracts.ledger_rows(lines, "run-2"))
-    return layers.ledger()
+    return contracts.ledger_rows(events, "run-1").unionByName(
+        contracts.ledger_rows(lines, "run-2")
+    )
 
 
 @query
@@ -773,7 +781,10 @@ def diff_keyed(spark, sf_dir):
     )
     twice = damaged.where((region == "EUROPE") & (year == 2000))
     keys = ["month", "region"]
-    actual = kept.unionByName(strange).unionByName(twice)
+    actual = kept.unionByName(strange).unionByName(twice).withColumn("note", F.lit(1))
+    # One expected key occurs twice, and a metric is missing from the answer.
+    expected = expected.unionByName(expected.where((region == "ASIA") & (year == 1997)))
+    expected = expected.withColumn("gross", F.col("revenue"))
     found = compare.keyed_diff(
         compare.month_keys(expected, keys), compare.month_keys(actual, keys), keys, ("net_rate",)
     )

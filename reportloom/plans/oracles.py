@@ -86,8 +86,9 @@ REGION_MONTH = f"""{WIDE}, report AS (
   FROM wide GROUP BY m, region)"""
 
 
-def newest_first(select: str, time: str, second: str, limit: int = 500) -> str:
-    return f"{select} ORDER BY {time} DESC NULLS LAST, {second} ASC NULLS LAST LIMIT {limit}"
+def newest_first(select: str, time: str, second: str, limit: int | None = None) -> str:
+    page = f" LIMIT {limit}" if limit else ""
+    return f"{select} ORDER BY {time} DESC NULLS LAST, {second} ASC NULLS LAST{page}"
 
 
 REGION_MONTH_REPORT = newest_first(
@@ -333,7 +334,11 @@ KEYED_DIFF = f"""WITH {DAMAGE}
   FROM e JOIN d USING (month, region) WHERE region = 'AMERICA' AND e.y = 1996
   UNION ALL SELECT e.month, e.region, 'percent_literal', 'net_rate', e.net_rate, d.net_rate,
     round(d.net_rate - e.net_rate, 6)
-  FROM e JOIN d USING (month, region) WHERE region = 'AMERICA' AND e.y = 1995"""
+  FROM e JOIN d USING (month, region) WHERE region = 'AMERICA' AND e.y = 1995
+  UNION ALL SELECT month, region, 'repeated_key', '-', NULL, NULL, NULL
+  FROM e WHERE region = 'ASIA' AND y = 1997
+  UNION ALL SELECT NULL, NULL, 'missing_column', 'gross', NULL, NULL, NULL
+  UNION ALL SELECT NULL, NULL, 'extra_column', 'note', NULL, NULL, NULL"""
 
 OPTIONS = {
     "region": "SELECT DISTINCT 'region' AS dimension, region AS value FROM wide",
@@ -348,18 +353,17 @@ def options(names: tuple[str, ...]) -> str:
     return f"WITH {WIDE} SELECT * FROM ({union}) WHERE value IS NOT NULL"
 
 
-def report(dims: str, metrics: str, groups: str, order: str = "", limit: int = 500) -> str:
+def report(dims: str, metrics: str, groups: str, order: str = "") -> str:
     tail = f" ORDER BY {order}" if order else ""
-    return f"WITH {WIDE} SELECT {dims}, {metrics} FROM wide GROUP BY {groups}{tail} LIMIT {limit}"
+    return f"WITH {WIDE} SELECT {dims}, {metrics} FROM wide GROUP BY {groups}{tail}"
 
 
-def grain(name: str, limit: int = 500) -> str:
+def grain(name: str) -> str:
     return report(
         f"{day(f'date_trunc({chr(39)}{name}{chr(39)}, ship_date)')} AS {name}, region",
         f"{amount('sum(net_amount)')} AS revenue",
         f"date_trunc('{name}', ship_date), region",
         f"{name} DESC, region",
-        limit,
     )
 
 
@@ -456,11 +460,11 @@ ORACLES: dict[str, str] = {
     "full_period_only": f"""WITH {WIDE}
       SELECT {day('m')} AS month, {amount('sum(net_amount)')} AS revenue, count(*) AS line_count
       FROM wide WHERE date_trunc('month', ship_date) < DATE '1998-06-01' GROUP BY m
-      ORDER BY month DESC LIMIT 500""",
+      ORDER BY month DESC""",
     "limit_clamped": newest_first(
         f"WITH {REGION_MONTH} SELECT * FROM report", "month", "region", 1
     ),
-    "grain_week": grain("week", 5000),
+    "grain_week": grain("week"),
     "grain_quarter": grain("quarter"),
     "grain_year": grain("year"),
     "mart_count_distinct": report(
@@ -602,6 +606,17 @@ ORACLES: dict[str, str] = {
       SELECT month, region, revenue, revenue_prev,
         revenue / NULLIF(revenue_prev, 0) - 1.0 AS revenue_change, net_rate, net_rate_prev,
         net_rate - NULLIF(net_rate_prev, 0) AS net_rate_change FROM h""",
+    "period_over_period_rollup": (
+        "SELECT month, part, brand, revenue, prev AS revenue_prev, "
+        "revenue / NULLIF(prev, 0) - 1.0 AS revenue_change FROM ("
+        "SELECT *, lag(revenue) OVER (PARTITION BY part, brand ORDER BY month) AS prev FROM ("
+        + ladder(
+            f"{day('m')} AS month, part_key AS part, brand",
+            f"{amount('sum(net_amount)')} AS revenue",
+            "m, part_key, brand",
+        )
+        + "))"
+    ),
     "topn_customers": f"""WITH {WIDE} SELECT customer, {amount('sum(net_amount)')} AS revenue,
       {amount('sum(quantity)')} AS units FROM wide GROUP BY customer
       ORDER BY sum(net_amount) DESC NULLS LAST, customer LIMIT 15""",

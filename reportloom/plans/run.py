@@ -25,7 +25,6 @@ from reportloom.sources.layers import NODES, RUNS, Layers
 from reportloom.spec import ReportModel, Source
 
 PARALLEL = 4
-BLOCKING = ("error", "fail", "skipped")
 
 
 def _now() -> dt.datetime:
@@ -42,7 +41,7 @@ class RunRecord:
     def note(self, node: str, status: str, failures: int = 0, message: str = "", began=None):
         ended = _now()
         self.nodes.append(
-            (self.run_id, node, status, failures, message[:200], began or ended, ended)
+            (self.run_id, node, status, failures, message, began or ended, ended)
         )
 
     @property
@@ -60,12 +59,10 @@ class RunRecord:
 def ingest_feed(feed: DataFrame, source: Source, layers: Layers) -> list[tuple]:
     """Cleans, checks and stores one feed; returns its problems and violations.
 
-    The counts of all row-level rules are observed while the table is written. Only
-    if something was broken, the broken fields are read once more for the samples.
+    All counts are observed while the rows are written beside the stored table, and it
+    takes that table's place only if rows are left. Only if something was broken, the
+    broken fields are read once more for the samples.
     """
-    if feed.limit(1).isEmpty():
-        level = problems.problem_level(source, "empty_file")
-        return [problems.problem(source.name, "empty_file", level, "no data rows")]
     if OVERFLOW in feed.columns:
         too_long = F.raise_error(F.lit("a row has more cells than the header"))
         first = feed.columns[0]
@@ -80,18 +77,22 @@ def ingest_feed(feed: DataFrame, source: Source, layers: Layers) -> list[tuple]:
         level = problems.problem_level(source, "header_changed")
         return [problems.problem(source.name, "header_changed", level, f"missing {absent}")]
     declared = cleaning.select_declared(cleaned, source)
-    if contracts.accept(declared, source).limit(1).isEmpty():
-        level = problems.problem_level(source, "empty_after_clean")
-        return [problems.problem(source.name, "empty_after_clean", level, "no rows left")]
-
     judged = Observation()
     counts = [column for _, column in contracts.rule_counts(source.fields)]
     watched = declared.observe(judged, *contracts.row_statistics(source.fields), *counts)
-    layers.replace(contracts.accept(watched, source), "raw", source.name)
-
-    seen = judged.get
+    layers.stage_aside(contracts.accept(watched, source), "raw", source.name)
+
+    raw_rows, seen = arrived.get["raw_rows"], judged.get
+    for rule, rows, detail in (
+        ("empty_file", raw_rows, "no data rows"),
+        ("empty_after_clean", seen["kept"], "no rows left"),
+    ):
+        if not rows:
+            level = problems.problem_level(source, rule)
+            return [problems.problem(source.name, rule, level, detail)]
+    layers.swap_in("raw", source.name)
     statistics = declared.sparkSession.createDataFrame(
-        [(arrived.get["raw_rows"], seen["dropped"], seen["kept"], seen["unparsed"])],
+        [(raw_rows, seen["dropped"], seen["kept"], seen["unparsed"])],
         "raw_rows bigint, dropped bigint, kept bigint, unparsed bigint",
     )
     found = [tuple(r) for r in problems.table_problems(statistics, source).collect()]
@@ -148,11 +149,15 @@ def ingest(
 
 
 # -- build -------------------------------------------------------------------
-def _tests(record: RunRecord, rows: list, level_of: Callable) -> None:
+def _tests(record: RunRecord, rows: list, level_of: Callable) -> bool:
+    """Notes the tests; whether one fails as an error."""
+    failed = False
     for row in rows:
         name, failures, error = level_of(row)
         status = "success" if failures == 0 else ("fail" if error else "warn")
         record.note(f"test.{name}", status, failures)
+        failed |= status == "fail"
+    return failed
 
 
 def build(
@@ -169,8 +174,11 @@ def build(
         tested = pool.map(
             lambda name: staging_tests(tables[name], model.sources[name]).collect(), tables
         )
-    for rows in tested:
-        _tests(
+    wide = model.wide
+    joined = {name: tables[name] for name in {wide.main, *[j.table for j in wide.joins]}}
+    broken = False
+    for name, rows in zip(tables, tested):
+        failed = _tests(
             record,
             rows,
             lambda r: (
@@ -179,21 +187,21 @@ def build(
                 r["severity"] == "error",
             ),
         )
+        # A source that is not joined keeps nothing from being built.
+        broken |= failed and name in joined
 
-    wide = model.wide
-    joined = {name: tables[name] for name in {wide.main, *[j.table for j in wide.joins]}}
-
-    def match(wide_df: DataFrame | None, rules: tuple[str, ...]) -> None:
+    def match(wide_df: DataFrame | None, rules: tuple[str, ...]) -> bool:
         rows = match_results(wide_df, joined, wide, rules).collect()
-        _tests(record, rows, lambda r: (r["test"], r["cnt"], r["level"] == "red"))
+        failed = _tests(record, rows, lambda r: (r["test"], r["cnt"], r["level"] == "red"))
         record.findings += [
             (r["source"], r["field"], r["rule"], r["level"], r["cnt"], r["sample"])
             for r in rows
             if r["cnt"]
         ]
+        return failed
 
-    match(None, ("fanout",))
-    if record.statuses("test.") & set(BLOCKING):
+    broken |= match(None, ("fanout",))
+    if broken:
         record.note(f"intermediate.{wide.name}", "skipped")
         for key in model.layers():
             record.note(f"marts.{key}", "skipped")
@@ -201,8 +209,7 @@ def build(
     began = _now()
     wide_df = layers.replace(widen(joined, wide), "intermediate", wide.name)
     record.note(f"intermediate.{wide.name}", "success", began=began)
-    match(wide_df, ("null_match", "orphan_right"))
-    blocked = bool(record.statuses("test.match_") & set(BLOCKING))
+    blocked = match(wide_df, ("null_match", "orphan_right"))
     build_reports(model, layers, record, wide_df, blocked, as_of)
 
 
@@ -240,13 +247,9 @@ def build_reports(
                 if failures:
                     halted.add(key)
 
-    def depth(key: str) -> int:
-        base = model.report(key).base
-        return 0 if base is None else 1 + depth(base)
-
     by_depth: dict[int, list[str]] = {}
-    for key in model.layers():
-        by_depth.setdefault(depth(key), []).append(key)
+    for key, depth in model.levels().items():
+        by_depth.setdefault(depth, []).append(key)
     with ThreadPoolExecutor(PARALLEL) as pool:
         for level in sorted(by_depth):
             list(pool.map(one, by_depth[level]))
@@ -267,7 +270,10 @@ def run(
     ingest(spark, model, inbox, layers, record)
     gated = record.red
     if not gated:
-        build(spark, model, layers, record, as_of)
+        try:
+            build(spark, model, layers, record, as_of)
+        except Exception as failure:  # noqa: BLE001 - recorded, and the run turns red
+            record.note("build", "error", message=f"{type(failure).__name__}: {failure}")
     if record.findings:
         found = spark.createDataFrame(record.findings, problems.PROBLEM_SCHEMA)
         layers.append_ledger(contracts.ledger_rows(found, run_id).coalesce(1))

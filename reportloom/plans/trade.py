@@ -276,5 +276,9 @@ def staged_tables(spark: SparkSession, sf_dir: str, model: ReportModel) -> dict[
     return {s.name: staged_table(spark, sf_dir, s) for s in model.sources.values()}
 
 
-def wide_table(spark: SparkSession, sf_dir: str, model: ReportModel = SALES) -> DataFrame:
-    return widen(staged_tables(spark, sf_dir, model), model.wide)
+def wide_table(
+    spark: SparkSession, sf_dir: str, model: ReportModel = SALES, key: str | None = None
+) -> DataFrame:
+    """The wide table, or with a report's key what that report needs of it."""
+    wide = model.narrowed(key) if key else model.wide
+    return widen(staged_tables(spark, sf_dir, model), wide)

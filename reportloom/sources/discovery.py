@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterable
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -14,28 +13,22 @@ READABLE = (".csv",)
 
 
 def list_files(spark: SparkSession, inbox: str) -> DataFrame:
-    """Path, file name, time and size of the files in a folder. The listing is read
-    without the files' content. Empty files have no row there, only a name, so they
-    are added with size 0 and an unknown time."""
-    folder = spark.read.format("binaryFile").load(inbox)
-    listed = folder.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("modificationTime").alias("modified"),
-        F.col("length"),
-    )
-    names = [(unquote(path.rsplit("/", 1)[-1]),) for path in folder.inputFiles()]
-    empty = spark.createDataFrame(names, "file string").join(
-        listed.select("file"), "file", "left_anti"
-    )
-    return listed.unionByName(
-        empty.select(
-            F.concat(F.lit(inbox.rstrip("/") + "/"), "file").alias("path"),
-            "file",
-            F.lit(None).cast("timestamp").alias("modified"),
-            F.lit(0).cast("bigint").alias("length"),
+    """Path, file name, time and size of the files in a folder, empty ones included, as
+    the session's file system lists them: one row per file of the inbox."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(inbox)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = [
+        (
+            entry.getPath().toString(),
+            entry.getPath().getName(),
+            entry.getModificationTime(),
+            entry.getLen(),
         )
-    )
+        for entry in files.listStatus(folder)
+        if entry.isFile()
+    ]
+    listed = spark.createDataFrame(rows, "path string, file string, ms bigint, length bigint")
+    return listed.select("path", "file", F.timestamp_millis("ms").alias("modified"), "length")
 
 
 def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
@@ -43,8 +36,8 @@ def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
     length, modified, chosen.
 
     Only hits of the first pattern with any hit are kept; the newest of them (by
-    name among equals) is chosen, the others are listed with chosen = false. An empty
-    file counts as the newest: an alarm is better than last month's figures.
+    name among equals) is chosen, the others are listed with chosen = false. Empty files
+    compete by their time like all others.
     """
     patterns = F.array(
         *[
@@ -64,7 +57,7 @@ def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
         .drop("regex")
     )
     first = hits.groupBy("source").agg(F.min("pattern_no").alias("pattern_no"))
-    newest = Window.partitionBy("source").orderBy(F.desc_nulls_first("modified"), F.asc("file"))
+    newest = Window.partitionBy("source").orderBy(F.desc_nulls_last("modified"), F.asc("file"))
     return (
         hits.join(first, ["source", "pattern_no"])
         .withColumn("chosen", F.row_number().over(newest) == 1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -23,12 +22,10 @@ NODES = (
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder that all executors can reach: under the session's checkpoint
-    folder, or in the machine's temporary folder where none is set (local mode)."""
+    folder, or, where none is set, under the warehouse, which they share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.gettempdir()
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -54,6 +51,23 @@ class Layers:
         writer.parquet(self.path(layer, name))
         return self.read(layer, name)
 
+    def stage_aside(self, df: DataFrame, layer: str, name: str) -> None:
+        """Writes a table beside the stored one, which stays as it is until swap_in."""
+        df.write.mode("overwrite").parquet(self.path(layer, f"{name}.new"))
+
+    def swap_in(self, layer: str, name: str) -> None:
+        """Puts the table written aside in the place of the stored one."""
+        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, old, past = (
+            path_of(self.path(layer, name + end)) for end in (".new", "", ".old")
+        )
+        files = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(past, True)
+        if files.exists(old):
+            files.rename(old, past)
+        files.rename(new, old)
+        files.delete(past, True)
+
     def read(self, layer: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, name))
 
@@ -93,8 +107,8 @@ def catalogue(spark: SparkSession, tables: dict[tuple[str, str], DataFrame]) ->
 
 
 def export_report(rows: DataFrame, path: str, note: str | None = None) -> None:
-    """A queried report (its row limit is part of the query) as one CSV file with a
-    header. A note, such as a warning of old data, becomes a leading column."""
+    """A queried report as CSV files with headers, one per task that has rows of it. A
+    note, such as a warning of old data, becomes a leading column."""
     if note:
         rows = rows.select(F.lit(note).alias("note"), "*")
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).csv(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field as dc_field
+from dataclasses import dataclass, field as dc_field, replace
 from typing import Any
 
 from reportloom.functions.metrics import Metric, resolve
@@ -52,7 +53,7 @@ class Source:
     name: str
     fields: tuple[Field, ...]
     patterns: tuple[str, ...] = ()
-    encodings: tuple[str, ...] = ("utf-8", "gbk")
+    encodings: tuple[str, ...] = ("utf-8-sig",)
     clean: tuple[Any, ...] = ("trim_columns", "strip_strings")
     problems: Mapping[str, Any] = dc_field(default_factory=dict)
     skip_rows: int = 0
@@ -188,17 +189,23 @@ class ReportModel:
 
     def group_dims(self, key: str) -> list[str]:
         """Own dimensions, then those that the reports built on top still need."""
-        report = self.report(key)
-        dims = list(report.own_dims)
-        for child in self.children(key):
-            dims += [d for d in self.group_dims(child.key) if d not in dims]
-        undeclared = [d for d in dims if d not in (*report.own_dims, *report.rollup)]
-        if undeclared:
-            raise SpecError(
-                f"report {key} is refined by {undeclared} for the reports above it; "
-                "declare them in its rollup"
-            )
-        return dims
+        self.report(key)
+        return self._grains()[key]
+
+    def _grains(self) -> dict[str, list[str]]:
+        """The dimensions that each report groups by. Every report hands its own down to
+        its base, the uppermost first, so one pass over the layers settles all of them."""
+        grains = {key: dict.fromkeys(report.own_dims) for key, report in self.reports.items()}
+        for key in reversed(self.layers()):
+            base = self.reports[key].base
+            if base:
+                grains[base] = {**grains[base], **grains[key]}
+        for key, grain in grains.items():
+            report = self.reports[key]
+            lacking = sorted(grain.keys() - {*report.own_dims, *report.rollup})
+            if lacking:
+                raise SpecError(f"rollup of report {key} lacks {lacking}, which layers above use")
+        return {key: list(grain) for key, grain in grains.items()}
 
     def subtree_inputs(self, key: str) -> set[str]:
         """Wide columns used by the metrics of a report and of its descendants."""
@@ -218,18 +225,22 @@ class ReportModel:
 
     def layers(self) -> list[str]:
         """Report keys with every base before the reports built on it."""
-        order: list[str] = []
-
-        def visit(key: str) -> None:
-            if key in order:
-                return
-            if self.reports[key].base:
-                visit(self.reports[key].base)
-            order.append(key)
-
-        for key in self.reports:
-            visit(key)
-        return order
+        levels = self.levels()
+        return sorted(levels, key=levels.get)
+
+    def levels(self) -> dict[str, int]:
+        """The number of layers below each report. Reports are added level by level, so
+        one whose bases lead nowhere or in a circle is not among them."""
+        levels = {key: 0 for key, report in self.reports.items() if not report.base}
+        while True:
+            above = {
+                key: levels[report.base] + 1
+                for key, report in self.reports.items()
+                if key not in levels and report.base in levels
+            }
+            if not above:
+                return levels
+            levels |= above
 
     @property
     def wide_columns(self) -> list[str]:
@@ -239,6 +250,31 @@ class ReportModel:
             columns += join.columns
         return columns + [name for name, _ in self.wide.derived]
 
+    def narrowed(self, key: str) -> Wide:
+        """The wide table as far as a report, its layers included, needs it.
+
+        A left join is left out if none of its columns is used and its key is declared
+        unique, which the contract of its feed enforces, so that no row count changes.
+        """
+        bottom = key
+        while self.report(bottom).base:
+            bottom = self.report(bottom).base
+        wanted = {self.dimension(d).column for d in self.group_dims(bottom)}
+        wanted |= self.subtree_inputs(bottom)
+        derived = []
+        for name, text in reversed(self.wide.derived):
+            if name in wanted:
+                derived.insert(0, (name, text))
+                # Every word of the expression, so at least the columns in it.
+                wanted |= set(re.findall(r"\w+", text))
+        joins = []
+        for join in reversed(self.wide.joins):
+            safe = join.how == "left" and self.sources[join.table].field(join.right).unique
+            if not safe or wanted & set(join.columns):
+                joins.insert(0, join)
+                wanted.add(join.left)
+        return replace(self.wide, joins=tuple(joins), derived=tuple(derived))
+
     # -- checks ------------------------------------------------------------
     def _check_wide(self) -> None:
         wide = self.wide
@@ -295,15 +331,12 @@ class ReportModel:
                     f"report {report.key}: metric {name} is neither additive nor a ratio "
                     "of sums, so it cannot be rebuilt from the layer below"
                 )
-        seen, key = [report.key], report.base
-        while key:
-            if key not in self.reports:
-                raise SpecError(f"report {report.key}: unknown base {key}")
-            if key in seen:
-                raise SpecError(f"report {report.key}: its bases form a cycle")
-            seen.append(key)
-            key = self.reports[key].base
-        if len(seen) - 1 > MAX_LAYERS:
+        if report.base not in self.reports:
+            raise SpecError(f"report {report.key}: unknown base {report.base}")
+        level = self.levels().get(report.key)
+        if level is None:
+            raise SpecError(f"report {report.key}: its bases form a cycle or end at an unknown one")
+        if level > MAX_LAYERS:
             raise SpecError(f"report {report.key}: more than {MAX_LAYERS} layers")
 
     def _check_layer_columns(self, report: Report) -> None:

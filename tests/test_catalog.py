@@ -7,8 +7,9 @@ import pytest
 import __spark_entry__ as entry_points
 from check_oracles import compare, connect
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+# The text operators have tests of their own.
+QUERIES = entry_points.QUERIES
+ORACLES = entry_points.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -235,10 +235,15 @@ def test_json_safe(spark):
     assert out == (1.5, "2024-02-03", "2024-02-03", "2024-02-03 04:05:06", "x")
 
 
-def test_pivot_looks_values_up(spark):
+def test_pivot_takes_declared_values_only(spark):
     df = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "a", 7)], "t int, d string, v int")
-    out = report_query.pivot_report(df, "t", "d", "v")
+    out = report_query.pivot_report(df, "t", "d", "v", ["a", "b"])
     assert out.columns == ["t", "a", "b"] and rows(out) == [(1, 5, 6), (2, 7, None)]
+    with pytest.raises(Exception, match="undeclared value b"):
+        report_query.pivot_report(df, "t", "d", "v", ["a"]).collect()
+    unknown = df.withColumn("d", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="undeclared value NULL"):
+        report_query.pivot_report(unknown, "t", "d", "v", ["a"]).collect()
 
 
 def test_stable_order(spark):

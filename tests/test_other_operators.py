@@ -129,7 +129,7 @@ def test_latest_and_previous(spark):
 
 def test_period_over_period(spark):
     df = spark.createDataFrame([(1, "a", 10.0), (2, "a", 15.0), (5, "b", 1.0)], "t int, d string, v double")
-    assert rows(periods.period_over_period(df, "t", "d", {"v": False})) == [
+    assert rows(periods.period_over_period(df, "t", ["d"], {"v": False})) == [
         (1, "a", 10.0, None, None),
         (2, "a", 15.0, 10.0, 0.5),
         (5, "b", 1.0, None, None),
