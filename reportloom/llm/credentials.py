@@ -125,7 +125,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                 names=[*batch.schema.names[:-1], "__base", "__weak"],
             )
 
-    schema = StructType(df.schema.fields).add("__base", SPAN).add("__weak", SPAN)
+    schema = StructType([*df.schema.fields]).add("__base", SPAN).add("__weak", SPAN)
     return clean.mapInArrow(run, schema)
 
 
@@ -249,11 +249,12 @@ def redact(df: DataFrame, text: str = "text", scope: int = SCOPE, mark: str = "[
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_replace(t, s, mark) for t, s in zip(texts, spans)])
 
-    changed = F.when(F.size("__spans") > 0, replaced(F.col(text), F.col("__spans")))
-    return every.withColumn(text, F.coalesce(changed, F.col(text))).select(*df.columns)
+    return every.withColumn(text, replaced(F.col(text), F.col("__spans"))).select(*df.columns)
 
 
-def _replace(text: str, spans, mark: str) -> str:
+def _replace(text: str | None, spans, mark: str) -> str | None:
+    if not len(spans):
+        return text
     out, at, last = [], 0, -1
     for span in spans:
         start, end = span["start"], span["end"]

@@ -85,7 +85,7 @@ def test_rules_hold_on_texts_they_have_not_seen():
         if low:
             row["symbols_a_word"], row["mean_word"] = 2 + rng.random(), 0.2 * rng.random()
         elif rng.random() < 0.5:
-            row["symbols_a_word"] = 2 + rng.random()
+            row["symbols_a_word"], row["mean_word"] = 2 + rng.random(), 0.3 + rng.random()
         else:
             row["mean_word"] = 0.2 * rng.random()
         return row
