@@ -14,11 +14,13 @@ What keeps hot groups linear:
 1. Texts with equal sets are one class, represented by its smallest number.
 2. First links are those of every member of a node to its pivot, a star instead of pairs.
 3. Members that are linked by then are one component. Only nodes that still hold several
-   components are compared further, and only across components.
+   components are compared further, and only across components; a node branches again if
+   that would be many comparisons, whatever its number of members.
 
-Candidates pass a filter on 2-bit sketches of 64 minwise tokens (five standard errors
-below the threshold) and sizes. All links are confirmed on the full sets, which tasks build
-from the texts themselves.
+Pairs pass a filter on 2-bit sketches of 64 minwise tokens (five standard errors below the
+threshold) and sizes. Within nodes they are then held against each other with 32 bits of
+each element, and a node gives one link for each component that joins another one. All
+links are confirmed on the full sets, which tasks build from the texts themselves.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from reportloom.llm.common import stored, whole
 from reportloom.llm.components import components
 
 SKETCH = 64
+# Elements of the sets that a task keeps while it confirms links.
+KEPT = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -46,9 +50,11 @@ class Settings:
     trees: int = 4
     branches: int = 2
     depth: int = 3
-    # Nodes above this size branch again, up to deepest levels.
-    small: int = 256
-    deepest: int = 12
+    # Nodes with more comparisons than this branch again, up to deepest more levels.
+    pairs: int = 1 << 20
+    deepest: int = 3
+    # Members of a block when a node is compared exhaustively.
+    block: int = 2048
     stars: int = 2
     seed: int = 1
 
@@ -196,19 +202,24 @@ def _alike(a: str, b: str, settings: Settings) -> Column:
         differing = differing + F.bit_count(
             x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd_bits)
         )
+    n_a, n_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * settings.least
+    return sizes & (differing <= F.lit(_most_differing(settings)))
+
+
+def _most_differing(settings: Settings) -> int:
+    """Tokens that may differ in a sketch: five standard errors more than at the threshold."""
     share = settings.least / 100
     agree = share + (1 - share) / 4
     slack = 5 * (agree * (1 - agree) / SKETCH) ** 0.5
-    n_a, n_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * settings.least
-    return sizes & (differing <= F.lit(int(SKETCH * (1 - agree + slack)) + 1))
+    return int(SKETCH * (1 - agree + slack)) + 1
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The pairs a, b of representatives whose full sets reach the threshold.
 
     The text of b goes to that of a, which many pairs may share; a join splits such a hot
-    text, and a task builds its set once for all pairs of a batch.
+    text, and a task keeps the sets that it has built last.
     """
     one = texts.select(F.col("__id").alias("a"), F.col("__text").alias("text_a"))
     other = texts.select(F.col("__id").alias("b"), F.col("__text").alias("text_b"))
@@ -216,18 +227,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        last, last_set = None, None
+        sets: dict[object, np.ndarray] = {}
+        held = 0
+
+        def set_of(number: object, text: pa.Scalar) -> np.ndarray:
+            """The set of a text, kept until all that are kept have KEPT elements."""
+            nonlocal held
+            if number not in sets:
+                if held > KEPT:
+                    sets.clear()
+                    held = 0
+                sets[number] = shingles(text.as_py(), settings.words, known)
+                held += len(sets[number])
+            return sets[number]
+
         for batch in batches:
             keep = []
-            a_column, text_a = batch.column(0), batch.column(2)
-            for i, text_b in enumerate(batch.column(3)):
-                a = a_column[i].as_py()
-                if a != last or last_set is None:
-                    last, last_set = a, shingles(text_a[i].as_py(), settings.words, known)
-                right = shingles(text_b.as_py(), settings.words, known)
-                same = len(np.intersect1d(last_set, right, assume_unique=True))
-                union = len(last_set) + len(right) - same
-                keep.append(100 * same >= settings.least * union)
+            for a, b, text_a, text_b in zip(*batch.columns):
+                left, right = set_of(a.as_py(), text_a), set_of(b.as_py(), text_b)
+                same = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(100 * same >= settings.least * (len(left) + len(right) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     schema = joined.select("a", "b").schema
@@ -251,19 +270,25 @@ def _candidates(pairs: DataFrame, reps: DataFrame, settings: Settings) -> DataFr
 def _mixed_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their label, of the nodes that hold several labels.
 
-    A member without label is its own component.
+    A member without label is its own component. lo is the smallest label of the node,
+    size the number of members, and cross the number of pairs with different labels.
     """
     labelled = members.join(labels, "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
+    per_label = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     several = (
-        labelled.groupBy("node")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-        .where("lo <> hi")
-    )
-    return labelled.select("node", "rep", "label").join(
-        several.select("node", "lo", "size"), "node"
+        per_label.groupBy("node")
+        .agg(
+            F.min("label").alias("lo"),
+            F.count(F.lit(1)).alias("n_labels"),
+            F.sum("n").alias("size"),
+            F.sum(F.col("n") * F.col("n")).alias("same"),
+        )
+        .where("n_labels > 1")
+        .select("node", "lo", "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("cross"))
     )
+    return labelled.select("node", "rep", "label").join(several, "node")
 
 
 def _stars(mixed_members: DataFrame) -> DataFrame:
@@ -289,7 +314,7 @@ def _branched(large: DataFrame, reps: DataFrame, level: int, settings: Settings)
     Tokens are taken from the sketch's hash functions, one for each branch and level.
     """
     tokens = reps.select("rep", "tokens")
-    first = (level % settings.deepest) * settings.branches
+    first = level * settings.branches
     ways = F.array(*[
         F.xxhash64("node", F.lit(b), F.get("tokens", F.lit(first + b)))
         for b in range(settings.branches)
@@ -299,47 +324,91 @@ def _branched(large: DataFrame, reps: DataFrame, level: int, settings: Settings)
     )
 
 
-def _exhaustive(members: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of members of different labels that pass the filter, block against block.
+def _short_sets(texts: DataFrame, settings: Settings) -> DataFrame:
+    """rep and short, the upper 32 bits of the elements of its set, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            found = (shingles(t.as_py(), settings.words, known) for t in batch.column(1))
+            short = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(short, pa.binary())], names=["rep", "short"]
+            )
 
-    A node of n members is cut into n / small blocks; a task holds two of them.
+    id_type = texts.schema["__id"].dataType.simpleString()
+    return texts.select("__id", "__text").mapInArrow(run, f"rep {id_type}, short binary")
+
+
+class _Block:
+    """The members of one node that are compared with each other."""
+
+    def __init__(self, part: pa.Table, settings: Settings) -> None:
+        self.settings = settings
+        self.i, self.j = part["i"][0].as_py(), part["j"][0].as_py()
+        self.block = part["block"].to_numpy()
+        self.numbers = part["rep"].to_numpy()
+        # Components that are linked within the node become one.
+        _, self.group = np.unique(part["label"].to_numpy(), return_inverse=True)
+        self.sketch = np.array(part["sketch"].to_pylist(), np.int64).view(np.uint64)
+        elements = [np.frombuffer(v.as_buffer(), "<u4") for v in part["short"]]
+        self.size = np.array([len(e) for e in elements])
+        self.ends = np.cumsum(self.size)
+        vocabulary, self.ids = np.unique(np.concatenate(elements), return_inverse=True)
+        self.marked = np.zeros(len(vocabulary), np.int32)
+
+    def _near(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of y whose component is not that of x and that may be linked with it."""
+        y = y[self.group[y] != self.group[x]]
+        least, larger = np.minimum(self.size[y], self.size[x]), np.maximum(self.size[y], self.size[x])
+        y = y[least * 100 >= larger * self.settings.least]
+        diff = self.sketch[y] ^ self.sketch[x]
+        far = np.bitwise_count((diff | (diff >> np.uint64(1))) & LOW_BITS).sum(axis=1)
+        return y[far <= _most_differing(self.settings)]
+
+    def _own(self, x: int) -> np.ndarray:
+        return self.ids[self.ends[x] - self.size[x] : self.ends[x]]
+
+    def links(self) -> Iterator[tuple]:
+        """One link for each component that joins another."""
+        right = np.flatnonzero(self.block == self.j)
+        for x in np.flatnonzero(self.block == self.i):
+            y = self._near(x, right[right > x] if self.i == self.j else right)
+            if not len(y):
+                continue
+            self.marked[self._own(x)] = 1
+            hits = self.marked[np.concatenate([self._own(v) for v in y])]
+            starts = np.concatenate([[0], np.cumsum(self.size[y])[:-1]])
+            same = np.add.reduceat(hits, starts)
+            self.marked[self._own(x)] = 0
+            linked = y[100 * same >= self.settings.least * (self.size[y] + self.size[x] - same)]
+            for v in linked:
+                if self.group[v] != self.group[x]:
+                    self.group[self.group == self.group[v]] = self.group[x]
+                    yield tuple(sorted((self.numbers[x], self.numbers[v])))
+
+
+def _exhaustive(
+    members: DataFrame, reps: DataFrame, shorts: DataFrame, settings: Settings
+) -> DataFrame:
+    """Links between members of different components, block against block.
+
+    A node of n members is cut into n / block blocks; two of them are held at a time, with
+    their sets. Of all links, a node gives only those that join components within it, fewer
+    than it has members.
     """
-    half = F.greatest(F.lit(1), F.ceil(F.col("size") / settings.small)).cast("int")
-    facts = reps.select("rep", "n_shingles", "sketch")
-    rows = members.join(facts, "rep").select(
-        "node", "rep", "label", "n_shingles", "sketch",
-        half.alias("blocks"), F.pmod(F.xxhash64("rep", "node"), half).cast("int").alias("block"),
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / settings.block)).cast("int")
+    rows = members.join(reps.select("rep", "sketch"), "rep").join(shorts, "rep").select(
+        "node", "rep", "label", "sketch", "short",
+        blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "node"), blocks).cast("int").alias("block"),
     )
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
     )
     dealt = rows.withColumn("meet", F.explode(meets)).select(
-        "node", "meet.i", "meet.j", "block", "rep", "label", "n_shingles", "sketch"
+        "node", "meet.i", "meet.j", "block", "rep", "label", "sketch", "short"
     )
-    share = settings.least / 100
-    agree = share + (1 - share) / 4
-    most = int(SKETCH * (1 - agree + 5 * (agree * (1 - agree) / SKETCH) ** 0.5)) + 1
-
-    def compared(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs within one node, between its blocks i and j."""
-        i, j = part["i"][0].as_py(), part["j"][0].as_py()
-        block = part["block"].to_numpy()
-        numbers, label = part["rep"].to_numpy(), part["label"].to_numpy()
-        size = part["n_shingles"].to_numpy()
-        sketch = np.array(part["sketch"].to_pylist(), np.int64).view(np.uint64)
-        right_of = np.flatnonzero(block == j)
-        a, b = [numbers[:0]], [numbers[:0]]
-        for x in np.flatnonzero(block == i):
-            y = right_of[right_of > x] if i == j else right_of
-            y = y[label[y] != label[x]]
-            diff = sketch[y] ^ sketch[x]
-            far = np.bitwise_count((diff | (diff >> np.uint64(1))) & LOW_BITS).sum(axis=1)
-            least, larger = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
-            y = y[(far <= most) & (least * 100 >= larger * settings.least)]
-            a.append(np.minimum(numbers[y], numbers[x]))
-            b.append(np.maximum(numbers[y], numbers[x]))
-        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts the sorted rows where a node and its blocks end."""
@@ -353,10 +422,14 @@ def _exhaustive(members: DataFrame, reps: DataFrame, settings: Settings) -> Data
             keys = np.stack([held[c].to_numpy() for c in ("node", "i", "j")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             bounds = [0, *cuts.tolist()] + ([held.num_rows] if batch is None else [])
-            for start, end in zip(bounds, bounds[1:]):
-                a, b = compared(held.slice(start, end - start))
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            found = [
+                pair
+                for start, end in zip(bounds, bounds[1:])
+                for pair in _Block(held.slice(start, end - start), settings).links()
+            ]
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_pydict({"a": np.array(a), "b": np.array(b)})
             held = held.slice(bounds[-1])
 
     id_type = reps.schema["rep"].dataType.simpleString()
@@ -384,37 +457,33 @@ def link_representatives(texts: DataFrame, reps: DataFrame, settings: Settings)
     id_type = reps.schema["rep"].dataType.simpleString()
     labels = reps.sparkSession.createDataFrame([], f"rep {id_type}, label {id_type}")
     links: list[DataFrame] = []
-    tried: list[DataFrame] = []
+    # The only time that texts are shuffled, by a merge at every size.
+    wanted = members.select(F.col("rep").alias("__id")).distinct().hint("merge")
+    chosen = stored(texts.join(wanted, "__id", "left_semi"), "member-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Stores the candidates that were not tried before, and then their links."""
-        fresh = _candidates(pairs, reps, settings)
-        for old in tried:
-            fresh = fresh.join(old, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "candidates")
-        tried.append(fresh)
-        wanted = fresh.select(F.col("a").alias("__id")).union(fresh.select("b")).distinct()
-        chosen = stored(texts.join(wanted, "__id", "left_semi"), "candidate-texts")
-        found = stored(_confirmed(fresh, chosen, settings), "links")
-        links.append(found)
+        """Stores the links among the pairs, and gives the components of all links."""
+        links.append(stored(_confirmed(pairs.distinct(), chosen, settings), "links"))
         return _labels(links)
 
     for _ in range(settings.stars):
-        labels = confirm(_stars(_mixed_nodes(members, labels)))
+        stars = _stars(_mixed_nodes(members, labels))
+        labels = confirm(_candidates(stars, reps, settings))
 
-    pairs: list[DataFrame] = []
+    shorts = stored(_short_sets(chosen, settings), "member-sets")
+    found: list[DataFrame] = []
     nodes = stored(_mixed_nodes(members, labels).where("size > 2"), "mixed-nodes")
-    for level in range(settings.deepest):
-        last = level == settings.deepest - 1
-        few = nodes if last else nodes.where(F.col("size") <= settings.small)
-        pairs.append(_exhaustive(few, reps, settings))
-        large = nodes.where(F.col("size") > settings.small)
+    for level in range(settings.deepest + 1):
+        last = level == settings.deepest
+        few = nodes if last else nodes.where(F.col("cross") <= settings.pairs)
+        found.append(stored(_exhaustive(few, reps, shorts, settings), "node-links"))
+        large = nodes.where(F.col("cross") > settings.pairs)
         if last or large.isEmpty():
             break
         children = _branched(large, reps, level, settings)
         nodes = stored(_mixed_nodes(children, labels), "mixed-nodes")
-    every = pairs[0]
-    for more in pairs[1:]:
+    every = found[0]
+    for more in found[1:]:
         every = every.unionByName(more)
     return confirm(every)
 
