@@ -63,11 +63,14 @@ def _hashes(chunk: Column) -> Column:
     )
 
 
-def anchors(df: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
+def anchors(
+    df: DataFrame, keys: tuple[str, ...], text: str = "text", every: bool = False
+) -> DataFrame:
     """One row per anchor of every text: keys, position, anchor (its hash).
 
     Positions are those of the k-mer's last code point, from 0. An empty or null text has
-    none; every other text has at least one s-mer window, but may have no anchor.
+    no anchor, and a short one may have none. With every, each row of the table has one
+    more row, with a null anchor, if its first k-mer is none.
     """
     pieces = df.select(
         *keys, F.posexplode_outer(_chunks(whole(F.col(text)))).alias("__no", "__chunk")
@@ -76,35 +79,38 @@ def anchors(df: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFra
         *keys, "__no", F.when(F.col("__chunk").isNotNull(), _hashes(F.col("__chunk"))).alias("__h")
     )
     each = hashed.select(*keys, "__no", "__h", F.posexplode_outer("__h").alias("__at", "__first"))
-    others = [F.get("__h", F.col("__at") + j) for j in range(1, WINDOW)]
-    judged = (
-        each.where(F.col("__at") + WINDOW <= F.size("__h"))
-        .withColumn("__last", others[-1])
-        .withColumn("__inner", F.least(*others[:-1]))
-    )
-    first, last, inner = F.col("__first"), F.col("__last"), F.col("__inner")
-    return judged.where(((first <= inner) & (first <= last)) | ((last <= inner) & (last <= first))).select(
+    last = F.get("__h", F.col("__at") + (WINDOW - 1))
+    inner = F.least(*[F.get("__h", F.col("__at") + j) for j in range(1, WINDOW - 1)])
+    first = F.col("__first")
+    chosen = F.col("__at").isNotNull() & (F.col("__at") + WINDOW <= F.size("__h")) & (
+        ((first <= inner) & (first <= last)) | ((last <= inner) & (last <= first))
+    )
+    leading = F.col("__at").isNull() | ((F.col("__no") == 0) & (F.col("__at") == 0))
+    # The two outer s-mers overlap, so they hold the whole k-mer.
+    value = F.xxhash64("__first", last)
+    return each.where((chosen | leading) if every else chosen).select(
         *keys,
         (F.col("__no") * CHUNK + F.col("__at")).cast("long").alias("position"),
-        # The two outer s-mers overlap, so they hold the whole k-mer.
-        F.xxhash64("__first", "__last").alias("anchor"),
-    )
+        (F.when(chosen, value) if every else value).alias("anchor"),
+    )
 
 
 def slot_minima(anchor_rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per key: slots, the array of (slot, packed) with the smallest of each slot."""
+    """Per key and slot in use: keys, slot, packed, the smallest of the slot.
+
+    Rows with a null anchor give one row per key with a null slot.
+    """
     most = (1 << POSITION_BITS) - 1
-    placed = F.xxhash64("anchor", F.floor(F.col("position") / BLOCK))
+    placed = F.when(
+        F.col("anchor").isNotNull(), F.xxhash64("anchor", F.floor(F.col("position") / BLOCK))
+    )
     packed = F.shiftleft(F.shiftrightunsigned(placed, POSITION_BITS + 1), POSITION_BITS)
     rows = anchor_rows.select(
         *keys,
         F.pmod(placed, F.lit(SLOTS)).cast("int").alias("slot"),
         packed.bitwiseOR(F.least("position", F.lit(most))).alias("packed"),
     )
-    least = rows.groupBy(*keys, "slot").agg(F.min("packed").alias("packed"))
-    return least.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("slot", "packed"))).alias("slots")
-    )
+    return rows.groupBy(*keys, "slot").agg(F.min("packed").alias("packed"))
 
 
 def entries(slots: Column) -> Column:
@@ -152,8 +158,10 @@ def with_stretches(df: DataFrame, document: str, stretches: int) -> DataFrame:
         place = F.when(
             number >= low, F.lit(i * fine) + F.greatest(F.lit(0), F.least(inside, F.lit(fine - 1)))
         ).otherwise(place)
+    # Never null, so that no check for that sets equal shuffles apart.
     placed = df.withColumn(
-        "__stretch", F.when(number.isNull(), F.lit(-1)).otherwise(place).cast("long")
+        "__stretch",
+        F.coalesce(F.when(number.isNotNull(), place).cast("long"), F.lit(-1).cast("long")),
     )
     # At most one row per stretch, so a window over all of them is small.
     around = Window.orderBy("__stretch").rowsBetween(
@@ -162,7 +170,11 @@ def with_stretches(df: DataFrame, document: str, stretches: int) -> DataFrame:
     starts = placed.groupBy("__stretch").agg(F.min(document).alias("__start"))
     starts = starts.withColumn(
         "__before",
-        F.coalesce(F.lag("__stretch").over(Window.orderBy("__stretch")), F.max("__stretch").over(around)),
+        F.coalesce(
+            F.lag("__stretch").over(Window.orderBy("__stretch")),
+            F.max("__stretch").over(around),
+            F.lit(-1),
+        ),
     )
     joined = placed.join(F.broadcast(starts), "__stretch")
     own = F.struct(F.col("__stretch").alias("stretch"), F.lit(0).alias("guest"))
@@ -192,7 +204,8 @@ def compare_neighbours(
     the same position. A null text is empty; two empty texts have likeness 1. A table of
     one row is its own neighbour; an empty table gives no rows.
 
-    The texts are shuffled once, by stretch.
+    The texts are shuffled once, by stretch; digests and fingerprints come from the same
+    shuffled rows and meet in a join.
     """
     spark = df.sparkSession
     stretches = stretches or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -234,36 +247,42 @@ def compare_neighbours(
             )
         ).alias("__f"),
     ).select(*key, F.col("__f.form").alias("__form"), F.col("__f.text").alias("__text"))
-    minima = slot_minima(anchors(both, (*key, "__form"), "__text"), (*key, "__form"))
+    # All of this keeps the partitioning by stretch, so only finished rows are shuffled.
+    minima = slot_minima(anchors(both, (*key, "__form"), "__text", True), (*key, "__form"))
+    found = F.col("slot").isNotNull()
+    smallest = F.struct("slot", "packed")
     forms = minima.groupBy(*key).agg(
-        F.max(F.when(F.col("__form") == 0, F.col("slots"))).alias("__a"),
-        F.max(F.when(F.col("__form") == 1, F.col("slots"))).alias("__b"),
+        *[
+            F.sort_array(F.collect_list(F.when(found & (F.col("__form") == i), smallest))).alias(name)
+            for i, name in enumerate(("__a", "__b"))
+        ]
     )
-    none = F.array().cast("array<struct<slot:int,packed:bigint>>")
-    full = heads.join(forms, [*key], "left").select(
+    numbered = forms.select(
         *key,
-        "__guest",
-        "__id",
-        "n_chars",
-        "edited_sha256",
-        F.coalesce("__a", none).alias("__a"),
-        F.coalesce("__b", none).alias("__b"),
-    )
-    numbered = full.select(
-        "*", entries(F.col("__a")).alias("__own"), entries(F.col("__b")).alias("__other")
+        entries(F.col("__a")).alias("__own"),
+        entries(F.col("__b")).alias("__other"),
+        F.size(F.array_intersect("__a", "__b")).cast("long").alias("n_anchors_kept"),
     )
     next_own = F.lead("__own").over(Window.partitionBy("__stretch").orderBy("__row"))
+    prints = numbered.withColumn("__following", next_own).select(
+        *key,
+        fingerprint_text(F.col("__own")).alias("fingerprint"),
+        fingerprint_text(F.col("__other")).alias("edited_fingerprint"),
+        likeness(F.col("__own"), F.col("__other")).alias("near_edited"),
+        likeness(F.col("__own"), F.col("__following")).alias("near_next"),
+        "n_anchors_kept",
+    )
     return (
-        numbered.withColumn("__following", next_own)
-        .where("__guest = 0")
+        heads.where("__guest = 0")
+        .join(prints, [*key])
         .select(
             F.col("__id").alias(document),
             "n_chars",
             "edited_sha256",
-            fingerprint_text(F.col("__own")).alias("fingerprint"),
-            fingerprint_text(F.col("__other")).alias("edited_fingerprint"),
-            likeness(F.col("__own"), F.col("__other")).alias("near_edited"),
-            likeness(F.col("__own"), F.col("__following")).alias("near_next"),
-            F.size(F.array_intersect("__a", "__b")).cast("long").alias("n_anchors_kept"),
+            "fingerprint",
+            "edited_fingerprint",
+            "near_edited",
+            "near_next",
+            "n_anchors_kept",
         )
     )
