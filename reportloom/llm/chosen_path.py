@@ -7,7 +7,9 @@ texts go the same way as often as their sets are alike. Paths are worked out tex
 text; a node exists only as the rows that share its path. Small nodes are compared
 exhaustively, large ones branch again. Independent trees raise the recall: at the threshold
 a pair misses a tree with probability q, where q = (1 - s + s q)^BRANCHES, thus all of
-them with q^TREES (at 0.8 about 1.5e-5).
+them with q^TREES (at 0.8 about 1.5e-5). This holds at any depth, as every node of every
+tree has hash functions of its own: those of the first levels are fixed by place, those of
+nodes that branch again are drawn from the name of the node.
 
 What keeps hot groups linear:
 
@@ -107,9 +109,13 @@ def minwise(sets: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
     Tokens are 32 bits: what counts is which shingle is the smallest.
     """
-    short = (sets >> np.uint64(32)).astype(np.uint32)
+    return least_tokens((sets >> np.uint64(32)).astype(np.uint32), multipliers)
+
+
+def least_tokens(short: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The same for a set that is shortened to 32 bits."""
     least = np.full(len(multipliers), np.iinfo(np.uint32).max, np.uint32)
-    step = (1 << 16) // len(multipliers)
+    step = max(1, (1 << 16) // len(multipliers))
     for i in range(0, len(short), step):
         part = multipliers[:, None] * short[None, i : i + step]
         np.minimum(least, part.min(axis=1), out=least)
@@ -154,16 +160,21 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
 
 
-SUMMARY = (
-    "n_shingles bigint, digest binary, sketch array<bigint>, tokens array<bigint>, "
-    "nodes array<bigint>"
-)
+def _children(nodes: np.ndarray, short: np.ndarray, settings: Settings) -> np.ndarray:
+    """The nodes below each of the nodes of one set, by hash functions of each node's own."""
+    ways = np.arange(1, settings.branches + 1, dtype=np.uint64)
+    names = mixed(mixed(nodes)[:, None] + ways).ravel()
+    multipliers = (names >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return mixed(names + least_tokens(short, multipliers))
+
+
+SUMMARY = "n_shingles bigint, digest binary, sketch array<bigint>, nodes array<bigint>"
 
 
 def summarise(df: DataFrame, document: str, text: str, settings: Settings) -> DataFrame:
-    """Per row: __id, n_shingles, digest of the set, sketch, tokens and first nodes.
+    """Per row: __id, n_shingles, digest of the set, sketch and first nodes.
 
-    tokens are for deeper levels of the trees. An empty set has no digest.
+    An empty set has no digest.
     """
     source = df.select(F.col(document).alias("__id"), whole(F.col(text)).alias("__text"))
     id_type = source.schema["__id"].dataType.simpleString()
@@ -181,13 +192,12 @@ def summarise(df: DataFrame, document: str, text: str, settings: Settings) -> Da
                     sizes[row] = len(found)
                     digests[row] = xxhash.xxh3_128_digest(found.tobytes())
                     tokens[row] = minwise(found, functions)
-            own = tokens[:, : settings.deepest * settings.branches].view(np.int64)
-            lists = (_sketches(tokens[:, :SKETCH]), own, _paths(tokens, settings))
+            lists = (_sketches(tokens[:, :SKETCH]), _paths(tokens, settings))
             columns = [pa.array(sizes), pa.array(digests, pa.binary())]
             columns += [_lists(values) for values in lists]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *columns],
-                names=["__id", "n_shingles", "digest", "sketch", "tokens", "nodes"],
+                names=["__id", "n_shingles", "digest", "sketch", "nodes"],
             )
 
     return source.mapInArrow(run, f"__id {id_type}, {SUMMARY}")
@@ -308,19 +318,32 @@ def _stars(mixed_members: DataFrame) -> DataFrame:
     )
 
 
-def _branched(large: DataFrame, reps: DataFrame, level: int, settings: Settings) -> DataFrame:
+def _branched(large: DataFrame, shorts: DataFrame, settings: Settings) -> DataFrame:
     """The members of large nodes in their children at the next level.
 
-    Tokens are taken from the sketch's hash functions, one for each branch and level.
+    Each text is taken once, with all its large nodes.
     """
-    tokens = reps.select("rep", "tokens")
-    first = level * settings.branches
-    ways = F.array(*[
-        F.xxhash64("node", F.lit(b), F.get("tokens", F.lit(first + b)))
-        for b in range(settings.branches)
-    ])
-    return large.select("node", "rep").join(tokens, "rep").select(
-        F.explode(ways).alias("node"), "rep"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            below = [
+                _children(
+                    np.array(nodes.as_py(), np.int64).view(np.uint64),
+                    np.frombuffer(short.as_buffer(), "<u4"),
+                    settings,
+                ).view(np.int64)
+                for nodes, short in zip(batch.column(1), batch.column(2))
+            ]
+            if below:
+                reps = batch.column(0).take(pa.array(np.repeat(np.arange(len(below)), [*map(len, below)])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(below)), reps], names=["node", "rep"]
+                )
+
+    id_type = large.schema["rep"].dataType.simpleString()
+    per_text = large.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+    return per_text.join(shorts, "rep").select("rep", "nodes", "short").mapInArrow(
+        run, f"node bigint, rep {id_type}"
     )
 
 
@@ -448,8 +471,8 @@ def _labels(links: list[DataFrame]) -> DataFrame:
 def link_representatives(texts: DataFrame, reps: DataFrame, settings: Settings) -> DataFrame:
     """Rows rep and label for all representatives that are linked to another one.
 
-    texts: __id and __text of the representatives. reps: rep, n_shingles, sketch, tokens,
-    nodes, one row per class of equal sets.
+    texts: __id and __text of the representatives. reps: rep, n_shingles, sketch, nodes,
+    one row per class of equal sets.
     """
     rows = reps.select(F.explode(F.array_distinct("nodes")).alias("node"), "rep")
     shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
@@ -480,7 +503,7 @@ def link_representatives(texts: DataFrame, reps: DataFrame, settings: Settings)
         large = nodes.where(F.col("cross") > settings.pairs)
         if last or large.isEmpty():
             break
-        children = _branched(large, reps, level, settings)
+        children = stored(_branched(large, shorts, settings), "children")
         nodes = stored(_mixed_nodes(children, labels), "mixed-nodes")
     every = found[0]
     for more in found[1:]:
@@ -509,7 +532,7 @@ def near_duplicates(
     )
     mine = rows.join(classes, "digest").where(F.col("__id") == F.col("rep"))
     reps = stored(
-        mine.select("rep", "digest", "n_shingles", "sketch", "tokens", "nodes")
+        mine.select("rep", "digest", "n_shingles", "sketch", "nodes")
         .dropDuplicates(["digest"])
         .drop("digest"),
         "representatives",

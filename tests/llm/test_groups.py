@@ -91,6 +91,28 @@ def test_chains_and_large_groups(spark, sizes):
     check(chosen_path.near_duplicates(df, settings=settings).collect(), dict(rows), 2)
 
 
+def test_links_within_large_nodes_below_the_threshold(spark):
+    """Pairs at 0.8, each the only link of its texts, in nodes that branch to the last level.
+
+    Words once in their text and one word a shingle, so similarities are exact.
+    """
+    rng = random.Random(11)
+    core = [f"c{i}" for i in range(75)]
+    rows = []
+    for i in range(400):
+        own = [f"s{i}_{j}" for j in range(5)]
+        for side in range(2):
+            words = core + own + [f"u{i}_{side}_{j}" for j in range(10)]
+            rng.shuffle(words)
+            rows.append((2 * i + side, " ".join(words)))
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    settings = chosen_path.Settings(words=1, pairs=20, stars=1)
+    found = chosen_path.near_duplicates(df, settings=settings).collect()
+    linked = {r.doc_id for r in found if r.component_id != r.doc_id}
+    assert linked <= {2 * i + 1 for i in range(400)}
+    assert len(linked) >= 399
+
+
 def test_odd_rows_have_a_component(spark, odd, clashing, empty):
     found = chosen_path.near_duplicates(odd).collect()
     assert len(found) == 12
