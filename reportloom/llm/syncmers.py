@@ -5,13 +5,14 @@ or last s-mer. Whether it is one depends on the k-mer alone, so a passage has th
 anchors wherever it stands, and equal prefixes have equal anchors at equal positions.
 Texts are taken with K - 1 marks before them, which gives texts shorter than K anchors too.
 
-Matching is positional: an anchor counts together with the block of BLOCK code points that
-it stands in, so a passage that a text repeats counts as often as it stands there, and a
-small insertion moves only the anchors at the edges of blocks.
+An anchor counts together with its occurrence number within the text, so a passage that a
+text repeats counts as often as it stands there, and what is inserted or deleted elsewhere
+changes nothing, however far it moves the passage.
 
 A fingerprint keeps the smallest hash in each of SLOTS slots, dealt by hash, with its
-position. The likeness of two fingerprints is the number of slots that agree over the
-number of slots in use, an estimate of the share of placed anchors that two texts share.
+position, which only positional matching looks at. The likeness of two fingerprints is the
+number of slots that agree over the number of slots in use, an estimate of the share of
+numbered anchors that two texts share.
 
 Texts are cut into chunks before anything is worked out per character, so that memory does
 not grow with the length of a text.
@@ -26,7 +27,6 @@ from reportloom.llm.common import whole
 S, WINDOW = 9, 8
 K = S + WINDOW - 1
 SLOTS = 64
-BLOCK = 512
 CHUNK = 1 << 15
 MARK = "\x02"
 UTF32 = "UTF-32"
@@ -96,21 +96,37 @@ def anchors(
 
 
 def slot_minima(anchor_rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Per key and slot in use: keys, slot, packed, the smallest of the slot.
+    """Per key and slot in use: keys, slot, and the smallest packed values of the slot in
+    the text and in its edited form, own and other.
 
-    Rows with a null anchor give one row per key with a null slot.
+    The rows have a column __form: 0 are those of the text alone, 1 of the edited form
+    alone, 2 those of both, which stand before all others. Rows with a null anchor give one
+    row per key with a null slot.
     """
     most = (1 << POSITION_BITS) - 1
-    placed = F.when(
-        F.col("anchor").isNotNull(), F.xxhash64("anchor", F.floor(F.col("position") / BLOCK))
+    form = F.col("__form")
+    # By anchor first: its prefix tells most rows apart when they are sorted.
+    before = (
+        Window.partitionBy("anchor", *keys)
+        .orderBy("position", "__form")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    packed = F.shiftleft(F.shiftrightunsigned(placed, POSITION_BITS + 1), POSITION_BITS)
-    rows = anchor_rows.select(
+    number = F.when(form == 1, F.count(F.when(form != 0, 1)).over(before)).otherwise(
+        F.count(F.when(form != 1, 1)).over(before)
+    )
+    counted = anchor_rows.withColumn("__number", number)
+    value = F.when(F.col("anchor").isNotNull(), F.xxhash64("anchor", "__number"))
+    packed = F.shiftleft(F.shiftrightunsigned(value, POSITION_BITS + 1), POSITION_BITS)
+    rows = counted.select(
         *keys,
-        F.pmod(placed, F.lit(SLOTS)).cast("int").alias("slot"),
+        "__form",
+        F.pmod(value, F.lit(SLOTS)).cast("int").alias("slot"),
         packed.bitwiseOR(F.least("position", F.lit(most))).alias("packed"),
     )
-    return rows.groupBy(*keys, "slot").agg(F.min("packed").alias("packed"))
+    return rows.groupBy(*keys, "slot").agg(
+        F.min(F.when(form != 1, F.col("packed"))).alias("own"),
+        F.min(F.when(form != 0, F.col("packed"))).alias("other"),
+    )
 
 
 def entries(slots: Column) -> Column:
@@ -229,6 +245,7 @@ def compare_neighbours(
         "__guest",
         "__id",
         n.cast("long").alias("n_chars"),
+        (n - cut).alias("__shared"),
         "__text",
         F.concat(
             F.substring(F.col("__text"), F.lit(1), n - cut),
@@ -240,21 +257,36 @@ def compare_neighbours(
     )
     both = texts.select(
         *key,
+        "__shared",
         F.explode(
             F.array(
                 F.struct(F.lit(0).alias("form"), F.col("__text").alias("text")),
                 F.struct(F.lit(1).alias("form"), F.col("__edited").alias("text")),
             )
         ).alias("__f"),
-    ).select(*key, F.col("__f.form").alias("__form"), F.col("__f.text").alias("__text"))
+    ).select(
+        *key, "__shared", F.col("__f.form").alias("__form"), F.col("__f.text").alias("__text")
+    )
     # All of this keeps the partitioning by stretch, so only finished rows are shuffled.
-    minima = slot_minima(anchors(both, (*key, "__form"), "__text", True), (*key, "__form"))
-    found = F.col("slot").isNotNull()
-    smallest = F.struct("slot", "packed")
+    found = anchors(both, (*key, "__form", "__shared"), "__text", True)
+    # Before the cut both forms have the same anchors; those of the text stand for both.
+    early = F.coalesce(F.col("position") < F.col("__shared"), F.lit(True))
+    each = found.where(~early | (F.col("__form") == 0)).select(
+        *key,
+        F.when(early, F.lit(2)).otherwise(F.col("__form")).alias("__form"),
+        "position",
+        "anchor",
+    )
+    minima = slot_minima(each, key)
+    used = F.col("slot").isNotNull()
     forms = minima.groupBy(*key).agg(
         *[
-            F.sort_array(F.collect_list(F.when(found & (F.col("__form") == i), smallest))).alias(name)
-            for i, name in enumerate(("__a", "__b"))
+            F.sort_array(
+                F.collect_list(
+                    F.when(used & F.col(form).isNotNull(), F.struct("slot", F.col(form).alias("packed")))
+                )
+            ).alias(name)
+            for form, name in (("own", "__a"), ("other", "__b"))
         ]
     )
     numbered = forms.select(

@@ -174,6 +174,30 @@ def test_anchors_do_not_depend_on_what_stands_around(spark):
     assert 0.9 < share < 1.1
 
 
+def fingerprint_likeness(spark, rows):
+    """near_next of the first of two texts."""
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    return {r.doc_id: r.near_next for r in syncmers.compare_neighbours(df).collect()}[0]
+
+
+def test_likeness_of_texts_whose_passages_moved(spark):
+    rng = random.Random(9)
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(5000)]
+    front = " ".join(f"front{rng.randrange(10**6)}" for _ in range(60))
+    text = " ".join(words)
+    # A passage of more than 512 code points in front, and 1% of all words deleted.
+    assert len(front) > 512
+    assert fingerprint_likeness(spark, [text, f"{front} {text}"]) > 0.85
+    fewer = " ".join(w for i, w in enumerate(words) if i % 100 != 50)
+    assert fingerprint_likeness(spark, [text, fewer]) > 0.75
+
+
+def test_repeated_passages_count_as_often_as_they_stand(spark):
+    rng = random.Random(10)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))
+    assert 0.2 < fingerprint_likeness(spark, [text, " ".join([text] * 3)]) < 0.5
+
+
 # -- token counts ------------------------------------------------------------
 @pytest.mark.parametrize("path", [MODEL, JSON])
 @pytest.mark.parametrize("piece", [40, 1 << 16])
