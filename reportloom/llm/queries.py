@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportloom.llm import chat, chosen_path, credentials, decision_list, token_counts, url_vocabulary, warc
-from reportloom.llm import packing, pivotal, syncmers
+from reportloom.llm import collocations, divergence, packing, pivotal, substrings, syncmers
 from reportloom.llm.common import n_words, table
 from reportloom.llm.url_vocabulary import Rule
 
@@ -238,3 +238,133 @@ def op2_near_duplicates(spark, sf_dir):
     return chosen_path.near_duplicates(
         table(spark, sf_dir, "documents"), settings=chosen_path.Settings(words=2)
     )
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    """The best-bound phrases of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM starts, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, phrase, k, count(*) AS f FROM phrases GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, cut, l.f AS l, r.f AS r,
+         CAST((CAST(2000000 AS HUGEINT) * c.f) // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM often WHERE k > 1) c
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS longest
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s
+        FROM (SELECT *, unnest(range(2, k)) AS m FROM often WHERE k > 2))
+  GROUP BY ALL
+), ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank,
+         c.phrase, a, l, r, score
+  FROM lowest c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE i.longest IS NULL OR 100 * i.longest < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_substrings(spark, sf_dir):
+    """All documents without the words of passages that an earlier document has."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_substrings"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM t WHERE len(w) >= 50)
+), repeated AS (
+  SELECT doc_id, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM windows)
+  WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM repeated
+), listed AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+         CASE WHEN gone IS NULL THEN w
+              ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+  FROM t LEFT JOIN listed USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query
+def op13_divergence(spark, sf_dir):
+    """How the sources of each language differ in their terms, pairwise and from the language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT id, lang, source, unnest(w) AS term FROM d
+), known AS (
+  SELECT lang, term, CAST(count(*) AS BIGINT) AS n FROM words
+  GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), counted AS (
+  SELECT lang, source, term, CAST(count(*) AS BIGINT) AS n FROM words SEMI JOIN known USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM known GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total, l.v, l.total AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY ALL) t USING (lang, source)
+  LEFT JOIN langs l USING (lang)
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (g.lang_total + g.v) AS BIGINT) AS lang_p
+  FROM groups g JOIN known k USING (lang)
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - lang_p) * (p - lang_p)) // lang_p AS value
+  FROM dense WHERE n > 0 AND p > lang_p
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
