@@ -23,6 +23,7 @@ from reportloom.plans.trade import (
     CUSTOMER,
     LADDER,
     LINEITEM,
+    ORDER_LADDER,
     ORDERS,
     SALES,
     STATUS,
@@ -31,10 +32,11 @@ from reportloom.plans.trade import (
     table,
     wide_table,
 )
-from reportloom.sources.csv import choose_encoding, examine, scan_text_table
+from reportloom.sources.csv import choose_encoding, examine, scan_text_table, whole_rows
 from reportloom.sources.discovery import discover, list_files
 from reportloom.sources.layers import Layers, export_report, shared_folder
 from reportloom.spec import Field, Join, Source, Wide
+from reportloom.streaming.inbox import StreamedInbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,7 +99,7 @@ def csv_ingest(spark, sf_dir):
     ).csv(inbox)
     facts = examine(spark, inbox)
     encoding = choose_encoding(spark, inbox, ("utf-8-sig", "gbk"), facts)
-    feed = scan_text_table(spark, inbox, encoding, facts.open_quotes)
+    feed = whole_rows(scan_text_table(spark, inbox, encoding, facts.open_quotes))
     declared = cleaning.select_declared(cleaning.clean(feed, ORDER_FEED.clean), ORDER_FEED)
     layers = Layers(spark, shared_folder(spark, "layers"))
     raw = layers.replace(contracts.accept(declared, ORDER_FEED), "raw", ORDER_FEED.name)
@@ -225,6 +227,22 @@ def contract_ledger(spark, sf_dir):
     return contracts.ledger_rows(found, "run-1").drop("ts")
 
 
+@query
+def stream_ledger(spark, sf_dir):
+    """Violations of all events, dropped into an inbox in two halves and taken in by starts
+    of a stream; the start in between finds nothing new."""
+    source = replace(EVENT_FEED, patterns=("part-*.csv",))
+    inbox = shared_folder(spark, "inbox")
+    stream = StreamedInbox(spark, [source], inbox, shared_folder(spark, "stream"))
+    events = event_feed(spark, sf_dir)
+    for half in (0, 1):
+        part = events.where(F.col("Event").cast("bigint") % 2 == half)
+        part.write.mode("append").option("header", True).option("escape", '"').csv(inbox)
+        stream.start()
+        stream.start()
+    return stream.ledger().select("batch_id", "source", "field", "rule", "level", "cnt", "sample")
+
+
 @query
 def staging_tests(spark, sf_dir):
     """Declared tests of the staged tables with their failures."""
@@ -365,7 +383,8 @@ def wide_how_kinds(spark, sf_dir):
 @query
 def match_fanout(spark, sf_dir):
     """Order keys that would multiply rows if lines were joined as a dimension."""
-    return wide_ops.fanout_keys(staged_table(spark, sf_dir, LINEITEM), "order_key")
+    keys = wide_ops.fanout_keys(staged_table(spark, sf_dir, LINEITEM), "order_key")
+    return keys.select("order_key", F.col("__n").alias("n"))
 
 
 @query
@@ -472,6 +491,16 @@ QUERIES |= {
 }
 
 
+@query
+def layer_distinct(spark, sf_dir):
+    """Distinct orders in the third layer of a report, from the states of those below."""
+    wide = wide_table(spark, sf_dir, ORDER_LADDER)
+    top = build_stack(ORDER_LADDER, "month_orders", wide)
+    # An estimate differs between engines; it is shown only as near or not.
+    near = F.abs(F.col("orders_about") - F.col("order_count")) <= 0.1 * F.col("order_count")
+    return json_safe(top.withColumn("near", near).drop("orders_about"))
+
+
 @query
 def layer_recon(spark, sf_dir):
     """Differences between a tampered brand report and the part report below it."""

@@ -126,10 +126,6 @@ def line_rule(field: str, rule: str, condition: str, level: str = "yellow", keep
     return broken_rows("feed", "line_feed", field, rule, level, condition, keep)
 
 
-def event_rule(field: str, rule: str, condition: str, level: str = "yellow", keep: int = 3) -> str:
-    return broken_rows("events_feed", "event_feed", field, rule, level, condition, keep)
-
-
 def unparsed(field: str, kind: str) -> str:
     parsed = (DATE_TEXT if kind == "date" else NUMBER_TEXT).format(c=field)
     return f"{field} IS NOT NULL AND {parsed} IS NULL"
@@ -157,13 +153,18 @@ ALL_LINE_RULES = [
     line_rule("price", "type", unparsed("price", "number"), "pending"),
     line_rule("discount", "range", outside("discount", 0, 0.09)),
 ]
-ALL_EVENT_RULES = [
-    event_rule(
-        "event_type", "enum", "event_type NOT IN ('click', 'view', 'purchase')", "red", 5
-    ),
-    event_rule("amount", "range", outside("amount", 0, 150)),
-    event_rule("props", "format", """NOT regexp_matches(props, '^(?:\\{"k": [1-9])')"""),
-]
+
+
+def event_rules(table: str) -> list[str]:
+    rules = (
+        ("event_type", "enum", "red", "event_type NOT IN ('click', 'view', 'purchase')", 5),
+        ("amount", "range", "yellow", outside("amount", 0, 150), 3),
+        ("props", "format", "yellow", """NOT regexp_matches(props, '^(?:\\{"k": [1-9])')""", 3),
+    )
+    return [broken_rows(table, "event_feed", *rule) for rule in rules]
+
+
+ALL_EVENT_RULES = event_rules("events_feed")
 LEDGER_COLUMNS = "source, field, rule, level, cnt, sample"
 
 
@@ -398,6 +399,13 @@ ORACLES: dict[str, str] = {
       FROM s WHERE d IS NOT NULL GROUP BY entry_type""",
     **{name: f"WITH {FEED} {text}" for name, text in LINE_RULES.items()},
     "contract_ledger": f"WITH {FEED} {ledger('run-1', ALL_LINE_RULES + ALL_EVENT_RULES)}",
+    "stream_ledger": f"WITH {FEED}, halves AS (SELECT * FROM events_feed), "
+    + ", ".join(f"half{i} AS (SELECT * FROM halves WHERE CAST(event_id AS BIGINT) % 2 = {i})" for i in (0, 1))
+    + " UNION ALL ".join(
+        f"{'' if i else ' '}SELECT CAST({i} AS BIGINT) AS batch_id, {LEDGER_COLUMNS} "
+        f"FROM ({stacked(event_rules(f'half{i}'))})"
+        for i in (0, 1)
+    ),
     "staging_tests": f"WITH {LINES} "
     + stacked(
         [
@@ -548,6 +556,13 @@ ORACLES: dict[str, str] = {
         f"{CONTRIBUTION_RATE} AS contribution_rate",
         "m",
     ),
+    "layer_distinct": ladder(
+        f"{day('m')} AS month",
+        "count(DISTINCT order_key) AS order_count, count(DISTINCT order_key) AS order_numbers, "
+        "count(DISTINCT CASE WHEN return_flag = 'R' THEN order_key END) AS returned_orders, "
+        f"{amount('sum(net_amount)')} AS revenue, true AS near",
+        "m",
+    ),
     "layer_recon": f"""WITH {PARTS}, b AS (
       SELECT m, brand, {amount('sum(net_amount)')} AS revenue, {CONTRIBUTION} AS contribution
       FROM wide GROUP BY m, brand)

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as
 
 from reportloom.operators import cleaning, contracts, problems, recon
 from reportloom.operators.contracts import LEDGER
-from reportloom.operators.marts import build_mart
+from reportloom.operators.marts import build_mart, build_states
 from reportloom.operators.staging import stage, staging_tests
 from reportloom.operators.wide import match_results, widen
-from reportloom.sources.csv import OVERFLOW, ReadFailed, read_feed
+from reportloom.sources.csv import ReadFailed, read_feed, whole_rows
 from reportloom.sources.discovery import discover, ignored_matches, list_files
 from reportloom.sources.layers import NODES, RUNS, Layers
 from reportloom.spec import ReportModel, Source
@@ -63,12 +63,7 @@ def ingest_feed(feed: DataFrame, source: Source, layers: Layers) -> list[tuple]:
     takes that table's place only if rows are left. Only if something was broken, the
     broken fields are read once more for the samples.
     """
-    if OVERFLOW in feed.columns:
-        too_long = F.raise_error(F.lit("a row has more cells than the header"))
-        first = feed.columns[0]
-        feed = feed.withColumn(
-            first, F.when(F.col(OVERFLOW).isNotNull(), too_long).otherwise(feed[f"`{first}`"])
-        ).drop(OVERFLOW)
+    feed = whole_rows(feed)
     arrived = Observation()
     counted = feed.observe(arrived, F.count(F.lit(1)).alias("raw_rows"))
     cleaned = cleaning.skip_first_rows(cleaning.clean(counted, source.clean), source.skip_rows)
@@ -80,7 +75,7 @@ def ingest_feed(feed: DataFrame, source: Source, layers: Layers) -> list[tuple]:
     judged = Observation()
     counts = [column for _, column in contracts.rule_counts(source.fields)]
     watched = declared.observe(judged, *contracts.row_statistics(source.fields), *counts)
-    layers.stage_aside(contracts.accept(watched, source), "raw", source.name)
+    version = layers.write(contracts.accept(watched, source), "raw", source.name)
 
     raw_rows, seen = arrived.get["raw_rows"], judged.get
     for rule, rows, detail in (
@@ -90,7 +85,7 @@ def ingest_feed(feed: DataFrame, source: Source, layers: Layers) -> list[tuple]:
         if not rows:
             level = problems.problem_level(source, rule)
             return [problems.problem(source.name, rule, level, detail)]
-    layers.swap_in("raw", source.name)
+    layers.publish("raw", source.name, version)
     statistics = declared.sparkSession.createDataFrame(
         [(raw_rows, seen["dropped"], seen["kept"], seen["unparsed"])],
         "raw_rows bigint, dropped bigint, kept bigint, unparsed bigint",
@@ -232,8 +227,16 @@ def build_reports(
             return
         began = _now()
         try:
-            below = layers.read("marts", report.base) if report.base else wide_df
-            mart = layers.replace(build_mart(model, key, below, as_of), "marts", key)
+            below, states = wide_df, {}
+            if report.base:
+                below = layers.read("marts", report.base)
+                states = {
+                    name: layers.read("marts", f"{report.base}.{name}")
+                    for name in model.handed_on(report.base)
+                }
+            for name, state in build_states(model, key, below, states, as_of).items():
+                layers.replace(state, "marts", f"{key}.{name}")
+            mart = layers.replace(build_mart(model, key, below, as_of, states), "marts", key)
         except Exception as failure:  # noqa: BLE001 - recorded, and the run turns red
             halted.add(key)
             record.note(f"marts.{key}", "error", message=str(failure), began=began)
@@ -265,6 +268,7 @@ def run(
 ) -> RunRecord:
     """A whole run. Any red finding of the ingest keeps the reports as they were."""
     layers = Layers(spark, root)
+    layers.clean_up()
     record = RunRecord(run_id)
     began = _now()
     ingest(spark, model, inbox, layers, record)

@@ -219,6 +219,35 @@ LADDER = ReportModel(
     ),
 )
 
+# Orders are counted at every level: exactly by keys and by bitmaps, and by sketches.
+ORDER_LADDER = ReportModel(
+    "order_ladder",
+    LADDER.sources.values(),
+    LADDER.wide,
+    tuple(LADDER.dimensions.values()),
+    (
+        *METRICS,
+        m.distinct_count("order_numbers", "order_key", state="bitmap"),
+        m.distinct_count("orders_about", "order_key", state="sketch"),
+    ),
+    (
+        Report("part_orders", "part", ("revenue", "order_count"), time_dim="month", rollup=("brand",)),
+        Report(
+            "brand_orders",
+            "brand",
+            ("revenue", "order_count", "returned_orders"),
+            time_dim="month",
+            base="part_orders",
+        ),
+        Report(
+            "month_orders",
+            "month",
+            ("order_count", "order_numbers", "returned_orders", "revenue", "orders_about"),
+            base="brand_orders",
+        ),
+    ),
+)
+
 STATUS = ReportModel(
     "status",
     (LINEITEM,),
@@ -242,7 +271,7 @@ STATUS = ReportModel(
     ),
 )
 
-MODELS = {model.name: model for model in (SALES, LADDER, STATUS)}
+MODELS = {model.name: model for model in (SALES, LADDER, ORDER_LADDER, STATUS)}
 
 
 # Declared rather than inferred, which saves a job per table before any query starts.

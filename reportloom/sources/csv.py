@@ -34,8 +34,11 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def examine(spark: SparkSession, path: str) -> TextFacts:
-    """Checks all lines of a file in parallel: are they valid UTF-8, and does a
+Paths = str | list[str]
+
+
+def examine(spark: SparkSession, path: Paths) -> TextFacts:
+    """Checks all lines of a file, or of files read together, in parallel: are they valid UTF-8, and does a
     quoted cell run over a line end."""
     lines = spark.read.text(path)
     value = F.col("value")
@@ -54,7 +57,7 @@ def charset(encoding: str) -> str:
     return CHARSETS.get(encoding.lower(), encoding)
 
 
-def decodes(spark: SparkSession, path: str, encoding: str, facts: TextFacts) -> bool:
+def decodes(spark: SparkSession, path: Paths, encoding: str, facts: TextFacts) -> bool:
     """Whether the whole file is valid in an encoding."""
     if charset(encoding) == "UTF-8":
         return facts.valid_utf8
@@ -63,7 +66,7 @@ def decodes(spark: SparkSession, path: str, encoding: str, facts: TextFacts) ->
 
 
 def choose_encoding(
-    spark: SparkSession, path: str, encodings: tuple[str, ...], facts: TextFacts
+    spark: SparkSession, path: Paths, encodings: tuple[str, ...], facts: TextFacts
 ) -> str:
     """First declared encoding in which the file is valid."""
     for encoding in encodings:
@@ -73,9 +76,9 @@ def choose_encoding(
 
 
 def scan_text_table(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False
+    spark: SparkSession, path: Paths, encoding: str = "UTF-8", multi_line: bool = False
 ) -> DataFrame:
-    """A CSV file or folder with a header as text columns plus provenance columns.
+    """A CSV file, folder or list of files with a header as text columns plus provenance columns.
 
     `_overflow` holds the first cell beyond the header, so that a row that is too
     long is noticed instead of being cut.
@@ -97,22 +100,42 @@ def scan_text_table(
     )
 
 
+def whole_rows(feed: DataFrame) -> DataFrame:
+    """The feed without `_overflow`. A row with more cells than the header fails the job
+    that reads it."""
+    if OVERFLOW not in feed.columns:
+        return feed
+    too_long = F.raise_error(F.lit("a row has more cells than the header"))
+    first = feed.columns[0]
+    return feed.withColumn(
+        first, F.when(F.col(OVERFLOW).isNotNull(), too_long).otherwise(feed[f"`{first}`"])
+    ).drop(OVERFLOW)
+
+
 def read_feed(
-    spark: SparkSession, path: str, length: int, encodings: tuple[str, ...]
+    spark: SparkSession,
+    path: str,
+    length: int,
+    encodings: tuple[str, ...],
+    further: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The file of a feed, with the encoding and the line handling it needs.
+    """The file of a feed, with the encoding and the line handling it needs; further files
+    are read together with it if they have the same header.
 
     Quoted line breaks make a file unsplittable, so they are only allowed for in
     files that have them.
     """
-    if not path.lower().endswith(".csv"):
+    if not all(p.lower().endswith(".csv") for p in (path, *further)):
         raise ReadFailed("only CSV files are read")
     if length == 0:
         raise ReadFailed("the file has zero bytes")
-    path = literal_path(path)
-    facts = examine(spark, path)
-    encoding = choose_encoding(spark, path, encodings, facts)
-    df = scan_text_table(spark, path, encoding, facts.open_quotes)
+    paths = [literal_path(p) for p in (path, *further)]
+    facts = examine(spark, paths)
+    encoding = choose_encoding(spark, paths, encodings, facts)
+    df = scan_text_table(spark, paths, encoding, facts.open_quotes)
+    for other in paths[1:]:
+        if scan_text_table(spark, other, encoding).columns != df.columns:
+            raise ReadFailed("files of one feed differ in their headers")
     # The line reader drops one byte-order mark; a second one belongs to the header.
     first = df.columns[0]
     if facts.header.startswith(BOM) and not first.startswith(BOM):

@@ -31,14 +31,9 @@ def list_files(spark: SparkSession, inbox: str) -> DataFrame:
     return listed.select("path", "file", F.timestamp_millis("ms").alias("modified"), "length")
 
 
-def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
-    """Files that match a feed's patterns: source, pattern_no, pattern, path, file,
-    length, modified, chosen.
-
-    Only hits of the first pattern with any hit are kept; the newest of them (by
-    name among equals) is chosen, the others are listed with chosen = false. Empty files
-    compete by their time like all others.
-    """
+def matches(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
+    """Files with each feed and pattern that they fit: the files' columns, source,
+    pattern_no, pattern. Of the patterns of a feed that a file fits, the first counts."""
     patterns = F.array(
         *[
             F.struct(
@@ -51,11 +46,25 @@ def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
             for i, pattern in enumerate(s.file_patterns)
         ]
     )
-    hits = (
-        files.select("*", F.inline(patterns))
-        .where(F.expr("regexp_like(file, regex)"))
-        .drop("regex")
+    fitting = F.filter(patterns, lambda p: F.regexp_like(F.col("file"), p["regex"]))
+    first = F.filter(
+        fitting,
+        lambda p: ~F.exists(
+            fitting, lambda q: (q["source"] == p["source"]) & (q["pattern_no"] < p["pattern_no"])
+        ),
     )
+    return files.select("*", F.inline(first)).drop("regex")
+
+
+def discover(files: DataFrame, sources: Iterable[Source]) -> DataFrame:
+    """Files that match a feed's patterns: source, pattern_no, pattern, path, file,
+    length, modified, chosen.
+
+    Only hits of the first pattern with any hit are kept; the newest of them (by
+    name among equals) is chosen, the others are listed with chosen = false. Empty files
+    compete by their time like all others.
+    """
+    hits = matches(files, sources)
     first = hits.groupBy("source").agg(F.min("pattern_no").alias("pattern_no"))
     newest = Window.partitionBy("source").orderBy(F.desc_nulls_last("modified"), F.asc("file"))
     return (

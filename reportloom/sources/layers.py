@@ -13,6 +13,7 @@ LAYERS = ("raw", "staging", "intermediate", "marts")
 LEDGER_TABLE = "contract_report"
 RUN_TABLE = "run_history"
 NODE_TABLE = "run_nodes"
+VERSION, MARKER = "version=", "published-"
 RUNS = "instance string, run_id string, started_at timestamp, ended_at timestamp, status string"
 NODES = (
     "run_id string, node string, status string, failures bigint, message string, "
@@ -30,46 +31,89 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 class Layers:
-    """Parquet tables below one root folder, one folder per layer and table."""
+    """Parquet tables below one root folder, one folder per layer and table.
+
+    A table is a folder of numbered versions. Writing makes a new version; it becomes the
+    table when an empty marker file with its number is put beside it, which is one step of
+    the file system. So a write that fails, or a driver that is lost at any time, leaves
+    the former version in place. Readers take the highest marked number. `clean_up` removes
+    what no reader can need; one run at a time writes to a root.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
 
     def path(self, layer: str, name: str) -> str:
+        """The folder of a table, which holds its versions."""
         if layer not in LAYERS:
             raise ValueError(f"unknown layer {layer}")
         return f"{self.root}/{layer}/{name}"
 
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        folder, files = self._folder(path)
+        return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+    def versions(self, layer: str, name: str) -> tuple[list[int], list[int]]:
+        """Numbers of the versions that are written or begun, and of those marked."""
+        names = self._names(self.path(layer, name))
+        return tuple(
+            sorted(int(n[len(start) :]) for n in names if n.startswith(start))
+            for start in (VERSION, MARKER)
+        )
+
+    def current(self, layer: str, name: str) -> str:
+        """Where the rows of a table are; a folder without versions is a table itself."""
+        marked = self.versions(layer, name)[1]
+        path = self.path(layer, name)
+        return f"{path}/{VERSION}{marked[-1]}" if marked else path
+
+    def write(
+        self, df: DataFrame, layer: str, name: str, partition_by: str | None = None
+    ) -> int:
+        """Writes a new version beside the stored one, which stays the table until the new
+        one is published."""
+        written, marked = self.versions(layer, name)
+        version = max([0, *written, *marked]) + 1
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.parquet(f"{self.path(layer, name)}/{VERSION}{version}")
+        return version
+
+    def publish(self, layer: str, name: str, version: int) -> None:
+        """Makes a written version the table."""
+        marker, files = self._folder(f"{self.path(layer, name)}/{MARKER}{version}")
+        files.create(marker, True).close()
+
     def replace(
         self, df: DataFrame, layer: str, name: str, partition_by: str | None = None
     ) -> DataFrame:
         """Writes a whole table anew and returns it as read back."""
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path(layer, name))
+        self.publish(layer, name, self.write(df, layer, name, partition_by))
         return self.read(layer, name)
 
-    def stage_aside(self, df: DataFrame, layer: str, name: str) -> None:
-        """Writes a table beside the stored one, which stays as it is until swap_in."""
-        df.write.mode("overwrite").parquet(self.path(layer, f"{name}.new"))
-
-    def swap_in(self, layer: str, name: str) -> None:
-        """Puts the table written aside in the place of the stored one."""
-        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
-        new, old, past = (
-            path_of(self.path(layer, name + end)) for end in (".new", "", ".old")
-        )
-        files = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(past, True)
-        if files.exists(old):
-            files.rename(old, past)
-        files.rename(new, old)
-        files.delete(past, True)
-
     def read(self, layer: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(layer, name))
+        return self.spark.read.parquet(self.current(layer, name))
+
+    def clean_up(self, keep: int = 2) -> list[str]:
+        """Removes unpublished versions and all but the last published ones, for readers
+        that still use the one before. Returns the removed folders."""
+        removed = []
+        for layer in LAYERS:
+            for name in self._names(f"{self.root}/{layer}"):
+                written, marked = self.versions(layer, name)
+                for version in written:
+                    if version not in marked[-keep:]:
+                        path = f"{self.path(layer, name)}/{VERSION}{version}"
+                        # The marker goes first: a marked version is always a whole one.
+                        for target in (f"{self.path(layer, name)}/{MARKER}{version}", path):
+                            folder, files = self._folder(target)
+                            files.delete(folder, True)
+                        removed.append(path)
+        return removed
 
     def append_ledger(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path("raw", LEDGER_TABLE))

@@ -207,20 +207,31 @@ class ReportModel:
                 raise SpecError(f"rollup of report {key} lacks {lacking}, which layers above use")
         return {key: list(grain) for key, grain in grains.items()}
 
-    def subtree_inputs(self, key: str) -> set[str]:
-        """Wide columns used by the metrics of a report and of its descendants."""
+    def subtree_inputs(self, key: str, counted: bool = True) -> set[str]:
+        """Wide columns used by the metrics of a report and of its descendants, with or
+        without those that only distinct counts use."""
         inputs: set[str] = set()
         for name in self.report(key).metrics:
-            inputs |= set(self.metric(name).inputs)
+            metric = self.metric(name)
+            if counted or metric.distinct is None:
+                inputs |= set(metric.inputs)
         for child in self.children(key):
-            inputs |= self.subtree_inputs(child.key)
+            inputs |= self.subtree_inputs(child.key, counted)
         return inputs
 
+    def handed_on(self, key: str) -> list[str]:
+        """Distinct counts of the reports built on one, whose states it hands on."""
+        names: dict[str, None] = {}
+        for child in self.children(key):
+            own = [n for n in self.report(child.key).metrics if self.metric(n).distinct]
+            names |= dict.fromkeys([*own, *self.handed_on(child.key)])
+        return list(names)
+
     def carried(self, key: str) -> list[str]:
         """Additive columns a report hands on so its descendants can recompute."""
         needed: set[str] = set()
         for child in self.children(key):
-            needed |= self.subtree_inputs(child.key)
+            needed |= self.subtree_inputs(child.key, counted=False)
         return sorted(needed - set(self.group_dims(key)) - set(self.report(key).metrics))
 
     def layers(self) -> list[str]:
@@ -326,10 +337,10 @@ class ReportModel:
             raise SpecError(f"report {report.key}: a layered report takes no filters")
         for name in report.metrics:
             metric = self.metric(name)
-            if not (metric.additive or metric.ratio):
+            if not (metric.additive or metric.ratio or metric.distinct):
                 raise SpecError(
-                    f"report {report.key}: metric {name} is neither additive nor a ratio "
-                    "of sums, so it cannot be rebuilt from the layer below"
+                    f"report {report.key}: metric {name} is neither additive, a ratio of "
+                    "sums nor a distinct count, so it cannot be rebuilt from the layer below"
                 )
         if report.base not in self.reports:
             raise SpecError(f"report {report.key}: unknown base {report.base}")
