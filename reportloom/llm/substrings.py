@@ -5,7 +5,7 @@ for any two positions there is an offset below PERIOD that leads both into the c
 equal windows of `window` words at any positions therefore share an anchor at the same
 offset inside them, though a fifth of all positions is hashed. Anchors that stand in one
 document only end there. Around the others the match is extended: each window that holds a
-shared anchor is compared as a whole, by 128 bits of its words, and is repeated if it also
+shared anchor is compared as a whole, by 96 bits of its words, and is repeated if it also
 starts in a document with a smaller number.
 
 Whole texts that repeat one of a smaller number are taken out first; all their windows are
@@ -37,6 +37,8 @@ IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 # Odd bases of the two polynomial hashes; any odd number will do.
 BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99)
+# Bits of an anchor's hash. Anchors that meet by chance only cost a comparison.
+ANCHOR_BITS = 48
 LAST = (1 << 63) - 1
 
 
@@ -68,6 +70,10 @@ def _places(block: word_bytes.Block, window: int, anchor: int) -> tuple[np.ndarr
     return at, block.row[at]
 
 
+def _anchor_keys(rolling: Rolling, at: np.ndarray, anchor: int) -> np.ndarray:
+    return rolling(at, anchor) >> np.uint64(64 - ANCHOR_BITS)
+
+
 def _blocks(texts: pa.Array) -> Iterator[tuple[word_bytes.Block, np.ndarray, np.ndarray]]:
     for block in word_bytes.blocks(texts, KINDS):
         one, two = word_bytes.two_hashes(block.words)
@@ -82,7 +88,7 @@ def _anchors(window: int) -> Callable:
             doc, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for block, one, _ in _blocks(batch.column(3)):
                 at, row = _places(block, window, window - PERIOD + 1)
-                key = Rolling(one, BASES[0])(at, window - PERIOD + 1)
+                key = _anchor_keys(Rolling(one, BASES[0]), at, window - PERIOD + 1)
                 order = np.lexsort((key, row))
                 key, row = key[order], row[order]
                 new = np.ones(len(key), bool)
@@ -112,7 +118,7 @@ def _windows(window: int) -> Callable:
             for block, one, two in _blocks(batch.column(3)):
                 first, second = Rolling(one, BASES[0]), Rolling(two, BASES[1])
                 at, row = _places(block, window, anchor)
-                key = first(at, anchor)
+                key = _anchor_keys(first, at, anchor)
                 bounds = block.row_bounds()
                 of_row = np.searchsorted(row, np.arange(block.n_rows + 1) + block.first_row)
                 marks = np.zeros(len(block.ids) + 1, np.int64)
@@ -126,7 +132,8 @@ def _windows(window: int) -> Callable:
                     np.add.at(marks, low, 1)
                     np.add.at(marks, high, -1)
                 start = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
-                w1, w2, row = first(start, window), second(start, window), block.row[start]
+                w1, row = first(start, window), block.row[start]
+                w2 = (second(start, window) >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((w2, w1, row))
                 w1, w2, row = w1[order], w2[order], row[order]
                 new = np.ones(len(w1), bool)
@@ -135,7 +142,7 @@ def _windows(window: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(w1[new].view(np.int64)),
-                        pa.array(w2[new].view(np.int64)),
+                        pa.array(w2[new].view(np.int32)),
                         pa.array(doc[row]),
                         pa.array(part[row]),
                     ],
@@ -235,7 +242,7 @@ def remove_repeats(
         .agg(F.collect_set("anchor").alias("shared"))
     )
     windows = own.join(of_text, ["doc", "part"]).select("doc_id", "doc", "part", "text", "shared").mapInArrow(
-        _windows(window), "w1 bigint, w2 bigint, doc bigint, part int"
+        _windows(window), "w1 bigint, w2 int, doc bigint, part int"
     )
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
     repeated = (
