@@ -39,16 +39,37 @@ KINDS = word_bytes.byte_kinds(BLANKS)
 SHARE = 1_000_000_000
 ROWS = 256
 # Postings of a bucket, and of a stretch of it that is worked on at once.
-BUCKET = 1 << 21
-STRETCH = 1 << 18
+BUCKET = 1 << 18
+STRETCH = 1 << 17
+# A task holds about so many counted terms before it hands them on.
+HELD = 1 << 20
+
+COUNTS = "lang string, source string, term string, n bigint, docs bigint"
+
+
+def _summed(held: list[pa.Table]) -> pa.Table:
+    table = pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False)
+    table = table.aggregate([("n", "sum"), ("docs", "sum")])
+    return table.rename_columns(["lang", "source", "term", "n", "docs"])
 
 
 def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents, pre-aggregated in blocks."""
+    """lang, source, term, n, docs: occurrences and documents, pre-aggregated in tasks."""
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text)]
     texts = df.select(*(c.alias(a) for c, a in zip(names, ("lang", "source", "text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for part in counted(batches):
+            held.append(part)
+            if sum(map(len, held)) > HELD:
+                held = [_summed(held)]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().to_batches(1 << 17)
+        if held:
+            yield from _summed(held).to_batches(1 << 17)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in batches:
             # Rows of one language and source get one number.
             numbers: dict[tuple[str, str], int] = {}
@@ -67,7 +88,7 @@ def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
                 count, docs = np.add.reduceat(each, first), np.diff(np.append(first, len(key)))
                 of = pa.array(key[first] >> 32)
                 words = pa.array(block.words, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
+                yield pa.Table.from_arrays(
                     [
                         pa.array([n[0] for n in names], pa.string()).take(of),
                         pa.array([n[1] for n in names], pa.string()).take(of),
@@ -79,7 +100,7 @@ def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
                 )
 
     return (
-        texts.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+        texts.mapInArrow(run, COUNTS)
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
@@ -106,9 +127,9 @@ def _values(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class _Rows:
     """The accumulators of up to ROWS sources of one language, over a bucket of terms."""
 
-    def __init__(self, first: int, empty: np.ndarray):
+    def __init__(self, first: int, most: int, empty: np.ndarray):
         self.first, self.empty = first, empty
-        self.n = min(ROWS, len(empty) - first)
+        self.n = min(most, len(empty) - first)
         self.sums = np.zeros((self.n, len(empty)), np.int64)
 
     def add(self, term: np.ndarray, peer: np.ndarray, share: np.ndarray) -> None:
@@ -198,7 +219,7 @@ def accumulated(postings: DataFrame, headers: DataFrame) -> DataFrame:
                         yield from out()
                     lang = batch.column(0)[low].as_py()
                     empty = np.array(batch.column(6)[low].as_py(), np.int64)
-                    rows = _Rows(batch.column(1)[low].as_py() * ROWS, empty)
+                    rows = _Rows(batch.column(1)[low].as_py() * ROWS, ROWS, empty)
                     low += 1
                 for at in range(low, high, STRETCH):
                     part = slice(at, min(high, at + STRETCH))
@@ -226,7 +247,7 @@ def divergence(
     Part `pair` compares a source with each other one of its language, part `term` names the
     terms that it has more often than its language.
     """
-    counts = term_counts(df, text, lang, source)
+    counts = stored(term_counts(df, text, lang, source), "counted-terms")
     known = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     kept = stored(counts.join(known.drop("docs"), ["lang", "term"]).select("lang", "term", "source", "n"), "terms")
 
