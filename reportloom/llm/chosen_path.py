@@ -20,8 +20,8 @@ What keeps hot groups linear:
    that would be many comparisons, whatever its number of members.
 
 Pairs pass a filter on 2-bit sketches of 64 minwise tokens (five standard errors below the
-threshold) and sizes. Within nodes they are then held against each other with 32 bits of
-each element, and a node gives one link for each component that joins another one. All
+threshold) and sizes. Within nodes they are then held against each other with all elements
+of their sets, and a node gives one link for each component that joins another one. All
 links are confirmed on the full sets, which tasks build from the texts themselves.
 """
 
@@ -52,11 +52,15 @@ class Settings:
     trees: int = 4
     branches: int = 2
     depth: int = 3
-    # Nodes with more comparisons than this branch again, up to deepest more levels.
-    pairs: int = 1 << 20
+    # Nodes with more comparisons than this branch again, up to deepest more levels. With
+    # None all nodes are compared as they are. At the threshold a pair is missed with about
+    # 1.2e-5 then, and with 1.5e-5 when its nodes branch three more levels.
+    pairs: int | None = 1 << 20
     deepest: int = 3
     # Members of a block when a node is compared exhaustively.
     block: int = 2048
+    # Elements of their sets in a block, as far as blocks can be cut.
+    elements: int = 1 << 22
     stars: int = 2
     seed: int = 1
 
@@ -318,7 +322,7 @@ def _stars(mixed_members: DataFrame) -> DataFrame:
     )
 
 
-def _branched(large: DataFrame, shorts: DataFrame, settings: Settings) -> DataFrame:
+def _branched(large: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The members of large nodes in their children at the next level.
 
     Each text is taken once, with all its large nodes.
@@ -329,10 +333,10 @@ def _branched(large: DataFrame, shorts: DataFrame, settings: Settings) -> DataFr
             below = [
                 _children(
                     np.array(nodes.as_py(), np.int64).view(np.uint64),
-                    np.frombuffer(short.as_buffer(), "<u4"),
+                    (np.frombuffer(held.as_buffer(), "<u8") >> np.uint64(32)).astype(np.uint32),
                     settings,
                 ).view(np.int64)
-                for nodes, short in zip(batch.column(1), batch.column(2))
+                for nodes, held in zip(batch.column(1), batch.column(2))
             ]
             if below:
                 reps = batch.column(0).take(pa.array(np.repeat(np.arange(len(below)), [*map(len, below)])))
@@ -342,25 +346,29 @@ def _branched(large: DataFrame, shorts: DataFrame, settings: Settings) -> DataFr
 
     id_type = large.schema["rep"].dataType.simpleString()
     per_text = large.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
-    return per_text.join(shorts, "rep").select("rep", "nodes", "short").mapInArrow(
+    return per_text.join(sets, "rep").select("rep", "nodes", "elements").mapInArrow(
         run, f"node bigint, rep {id_type}"
     )
 
 
-def _short_sets(texts: DataFrame, settings: Settings) -> DataFrame:
-    """rep and short, the upper 32 bits of the elements of its set, sorted."""
+def _whole_sets(texts: DataFrame, settings: Settings) -> DataFrame:
+    """rep and elements, the 64-bit elements of its set, sorted.
+
+    Links within nodes are decided on these, as the final check is: what is merged there is
+    linked, and no link is missed because elements were shortened.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             found = (shingles(t.as_py(), settings.words, known) for t in batch.column(1))
-            short = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in found]
+            elements = pa.array([x.astype("<u8").tobytes() for x in found], pa.large_binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(short, pa.binary())], names=["rep", "short"]
+                [batch.column(0), elements.cast(pa.binary())], names=["rep", "elements"]
             )
 
     id_type = texts.schema["__id"].dataType.simpleString()
-    return texts.select("__id", "__text").mapInArrow(run, f"rep {id_type}, short binary")
+    return texts.select("__id", "__text").mapInArrow(run, f"rep {id_type}, elements binary")
 
 
 class _Block:
@@ -374,7 +382,7 @@ class _Block:
         # Components that are linked within the node become one.
         _, self.group = np.unique(part["label"].to_numpy(), return_inverse=True)
         self.sketch = np.array(part["sketch"].to_pylist(), np.int64).view(np.uint64)
-        elements = [np.frombuffer(v.as_buffer(), "<u4") for v in part["short"]]
+        elements = [np.frombuffer(v.as_buffer(), "<u8") for v in part["elements"]]
         self.size = np.array([len(e) for e in elements])
         self.ends = np.cumsum(self.size)
         vocabulary, self.ids = np.unique(np.concatenate(elements), return_inverse=True)
@@ -412,17 +420,23 @@ class _Block:
 
 
 def _exhaustive(
-    members: DataFrame, reps: DataFrame, shorts: DataFrame, settings: Settings
+    members: DataFrame, reps: DataFrame, sets: DataFrame, settings: Settings
 ) -> DataFrame:
     """Links between members of different components, block against block.
 
-    A node of n members is cut into n / block blocks; two of them are held at a time, with
-    their sets. Of all links, a node gives only those that join components within it, fewer
+    A node is cut into blocks of about `block` members or `elements` elements of their sets,
+    whichever are more; two of them are held at a time, with their sets. Of all links, a node gives only those that join components within it, fewer
     than it has members.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / settings.block)).cast("int")
-    rows = members.join(reps.select("rep", "sketch"), "rep").join(shorts, "rep").select(
-        "node", "rep", "label", "sketch", "short",
+    known = members.join(reps.select("rep", "sketch", "n_shingles"), "rep")
+    large = known.groupBy("node").agg(F.sum("n_shingles").alias("elements_of_node"))
+    blocks = F.greatest(
+        F.lit(1),
+        F.ceil(F.col("size") / settings.block),
+        F.ceil(F.col("elements_of_node") / settings.elements),
+    ).cast("int")
+    rows = known.join(large, "node").join(sets, "rep").select(
+        "node", "rep", "label", "sketch", "elements",
         blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "node"), blocks).cast("int").alias("block"),
     )
     meets = F.transform(
@@ -430,7 +444,7 @@ def _exhaustive(
         lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
     )
     dealt = rows.withColumn("meet", F.explode(meets)).select(
-        "node", "meet.i", "meet.j", "block", "rep", "label", "sketch", "short"
+        "node", "meet.i", "meet.j", "block", "rep", "label", "sketch", "elements"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,17 +507,17 @@ def link_representatives(texts: DataFrame, reps: DataFrame, settings: Settings)
         stars = _stars(_mixed_nodes(members, labels))
         labels = confirm(_candidates(stars, reps, settings))
 
-    shorts = stored(_short_sets(chosen, settings), "member-sets")
+    sets = stored(_whole_sets(chosen, settings), "member-sets")
     found: list[DataFrame] = []
     nodes = stored(_mixed_nodes(members, labels).where("size > 2"), "mixed-nodes")
     for level in range(settings.deepest + 1):
-        last = level == settings.deepest
+        last = level == settings.deepest or settings.pairs is None
         few = nodes if last else nodes.where(F.col("cross") <= settings.pairs)
-        found.append(stored(_exhaustive(few, reps, shorts, settings), "node-links"))
+        found.append(stored(_exhaustive(few, reps, sets, settings), "node-links"))
         large = nodes.where(F.col("cross") > settings.pairs)
         if last or large.isEmpty():
             break
-        children = stored(_branched(large, shorts, settings), "children")
+        children = stored(_branched(large, sets, settings), "children")
         nodes = stored(_mixed_nodes(children, labels), "mixed-nodes")
     every = found[0]
     for more in found[1:]:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reportloom.llm.common import SPACE, WORD, whole
+from reportloom.llm.common import WORD, whole
 
 FIT_ROWS = 20_000
 # Statistics that rules may test, as SQL over the columns of `with_statistics`.
@@ -290,20 +290,26 @@ def labelled_rows(
 
 def judge(df: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
     """The table with COUNTS, base_failed, rule (the number of the first rule that rejects
-    from 1, else null) and kept.
+    from 1, else null) and kept. A column of the table with one of these names is kept as
+    `own_<name>`.
 
     Every row is judged by itself, repeated rows alike. A null or empty text has no words
     and fails the base rule. Without rules the base rule decides.
     """
-    measured = with_measures(with_statistics(df, text)).withColumn("base_failed", base_failed())
+    added = (*COUNTS, "base_failed", "rule", "kept")
+    names = {c: f"own_{c}" if c in added else c for c in df.columns}
+    whole_row = df.select(F.struct(*df.columns).alias("__whole"), F.col(text).alias("__judged"))
+    measured = with_measures(with_statistics(whole_row, "__judged")).withColumn(
+        "base_failed", base_failed()
+    )
     number = F.lit(None).cast("int")
     for place, rule in reversed(list(enumerate(rules, 1))):
         number = F.when(F.expr(rule.sql), F.lit(place)).otherwise(number)
-    return (
-        measured.withColumn("rule", number)
-        .drop(*MEASURES)
-        .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    judged = measured.withColumn("rule", number).withColumn(
+        "kept", ~F.col("base_failed") & F.col("rule").isNull()
     )
+    own = [F.col(f"__whole.`{c}`").alias(name) for c, name in names.items()]
+    return judged.select(*own, *added)
 
 
 def judge_by_labels(

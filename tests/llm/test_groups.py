@@ -76,7 +76,7 @@ def family(rng, n, size, edits):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("sizes", [{"block": 4, "pairs": 20}, {}])
+@pytest.mark.parametrize("sizes", [{"block": 4, "pairs": 20}, {"pairs": None, "elements": 300}, {}])
 def test_chains_and_large_groups(spark, sizes):
     rng = random.Random(7)
     texts = family(rng, 250, 120, 12) + family(rng, 80, 60, 9) + family(rng, 200, 150, 2)
@@ -245,3 +245,44 @@ def test_pipeline_of_odd_tables(spark, sf_dir, which, request):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 0
+
+
+def test_links_in_nodes_are_decided_on_whole_elements():
+    """Two texts at exactly 80 percent whose elements collide in their upper 32 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    high = common[:10] & np.uint64(0xFFFFFFFF00000000)
+    common[10:20] = high | np.uint64(7)
+    own = [rng.integers(0, 2**63, 10, dtype=np.uint64) for _ in range(2)]
+    sets = [np.unique(np.concatenate((common, o))) for o in own]
+    # One element less in common, where the shortened ones would still agree.
+    other = common[79:80] ^ np.uint64(1)
+    far = np.unique(np.concatenate((common[:79], own[0], other)))
+    settings = chosen_path.Settings()
+
+    def links(a, b):
+        rows = {
+            "node": [1, 1], "i": [0, 0], "j": [0, 0], "block": [0, 0], "rep": [5, 9], "label": [5, 9],
+            "sketch": [[0, 0], [0, 0]], "elements": [x.astype("<u8").tobytes() for x in (a, b)],
+        }
+        return list(chosen_path._Block(pa.table(rows), settings).links())
+
+    assert links(*sets) == [(5, 9)]
+    assert links(sets[1], far) == []
+
+
+def test_pipeline_keeps_different_texts_under_one_number(spark, odd):
+    texts = [" ".join(f"{a}{i}" for i in range(80)) for a in "pqrs"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (4, texts[2]), (0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "*", "'en' as lang", "'s' as source", "1L as n_chars", "'own' as component_id"
+    )
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left.collect())
+    assert found == sorted(
+        [(False, 0, texts[0]), (False, 1, texts[1]), (False, 4, texts[2]), (True, 0, texts[3])]
+    )

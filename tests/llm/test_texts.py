@@ -11,6 +11,7 @@ from functools import partial
 
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from reportloom.llm import decision_list, packing, syncmers, token_counts
@@ -112,6 +113,19 @@ def test_quality_of_an_empty_table(spark, empty, sf_dir):
     assert decision_list.judge_by_labels(empty, labels).count() == 0
 
 
+def test_own_columns_with_the_names_of_statistics_are_kept(spark, odd):
+    rules = (decision_list.Rule((decision_list.Condition("words", True, 100.0),)),)
+    names = [*decision_list.COUNTS, *decision_list.MEASURES, "base_failed", "rule", "kept", "__text"]
+    clashing = odd.withColumns({name: F.lit(name) for name in names})
+    judged = decision_list.judge(clashing, rules).collect()
+    plain = decision_list.judge(odd, rules).collect()
+    added = (*decision_list.COUNTS, "base_failed", "rule", "kept")
+    show = lambda found: sorted((repr([r[c] for c in ("doc_id", *added)]) for r in found))
+    assert show(judged) == show(plain)
+    for row in judged:
+        assert all(row[f"own_{c}" if c in added else c] == c for c in names)
+
+
 # -- fingerprints ------------------------------------------------------------
 def test_fingerprints(spark, odd, odd_rows):
     found = syncmers.compare_neighbours(odd, stretches=5).collect()
@@ -174,6 +188,86 @@ def test_anchors_do_not_depend_on_what_stands_around(spark):
     assert 0.9 < share < 1.1
 
 
+MASK = (1 << 64) - 1
+
+
+def spark_hash(*values):
+    """xxhash64 of byte strings and whole numbers, as Spark chains them."""
+    seed = 42
+    for v in values:
+        raw = v if isinstance(v, bytes) else (v & MASK).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_slots(text):
+    """slot -> (29 bits of hash, position), by the definition."""
+    marked = syncmers.MARK * (syncmers.K - 1) + text
+    found = []
+    for at in range(len(text)):
+        kmer = marked[at : at + syncmers.K]
+        h = [
+            signed(spark_hash(kmer[j : j + syncmers.S].encode("utf-32-be")))
+            for j in range(syncmers.WINDOW)
+        ]
+        if min(h) in (h[0], h[-1]):
+            found.append((spark_hash(h[0], h[-1]) >> (syncmers.POSITION_BITS + 1), at))
+    number, slots = Counter(), {}
+    for anchor, at in sorted(found):
+        value = spark_hash(anchor, number[anchor].to_bytes(4, "little"))
+        number[anchor] += 1
+        rest = (value >> (syncmers.POSITION_BITS + 1)) & ((1 << 29) - 1), at
+        slots[value >> 58] = min(rest, slots.get(value >> 58, rest))
+    return {slot: (h & 0xFFFF) for slot, (h, _) in slots.items()}
+
+
+def brute_likeness(a, b):
+    used = {*a, *b}
+    return sum(a.get(s) == b.get(s) for s in used) / len(used) if used else 1.0
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 15])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(syncmers, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choices("ab é𝔘", k=rng.randrange(140))) for _ in range(25)]
+    texts += ["", "x", texts[3] * 3, "same " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in syncmers.compare_neighbours(df).collect()}
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        cut = len(text) // 4
+        own, edited, other = map(brute_slots, (text, text[: len(text) - cut] + following[:cut], following))
+        show = "".join(f"{slot * 65536 + h:06x}" for slot, h in sorted(own.items()))
+        assert found[i].fingerprint == show
+        assert found[i].near_edited == pytest.approx(brute_likeness(own, edited))
+        assert found[i].near_next == pytest.approx(brute_likeness(own, other))
+
+
+def test_many_rows_without_number_or_with_the_same_one(spark):
+    rng = random.Random(4)
+    rows = [(None, f"{rng.randrange(10**9)} null") for _ in range(4000)]
+    rows += [(7, f"{rng.randrange(10**9)} seven") for _ in range(4000)]
+    rows += [(i, f"text {i}") for i in range(1000)] + [(7, "equal")] * 50
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = syncmers.with_stretches(df, "doc_id", "text", 16)
+    sizes = {r["__stretch"]: r["count"] for r in placed.groupBy("__stretch").count().collect()}
+    assert max(sizes.values()) < 1200
+    assert placed.where("__guest = 1").count() == len(sizes)
+    found = syncmers.compare_neighbours(df, stretches=16).select("doc_id", "n_chars", "edited_sha256")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    expected = Counter()
+    for (number, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        expected[number, len(text), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, found.collect())) == expected
+
+
 def fingerprint_likeness(spark, rows):
     """near_next of the first of two texts."""
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
