@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import partial
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportloom.llm import chosen_path, credentials, decision_list, packing, pivotal
 from reportloom.llm.common import n_words, stored, table
@@ -25,18 +25,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 percent of its shingles of five words.
+    """One row of each group that shares 80 percent of its shingles of five words.
 
-    It is the one with the smallest number. Of rows that repeat a number, and of rows
-    without number that repeat a text, one stays; other rows without number all stay.
+    It is the one with the smallest number, then the first one stored; rows without number
+    come last. Rows are linked by their texts alone, so rows with the same number, or with
+    none, stay if their texts differ.
     """
-    found = chosen_path.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    unnumbered = F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("binary"), 256))
-    same = Window.partitionBy("doc_id", unnumbered).orderBy("text")
-    first = chosen.withColumn("__place", F.row_number().over(same)).where("__place = 1")
-    return first.select(*docs.columns)
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-documents")
+    found = chosen_path.near_duplicates(numbered.select("__row", "text"), document="__row")
+    groups = found.select("__row", "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = (
+        groups.join(numbered.select("__row", "doc_id"), "__row")
+        .groupBy("component_id")
+        .agg(F.min(place).alias("first"))
+        .select("first.__row")
+    )
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
