@@ -40,12 +40,27 @@ def attach(fact: DataFrame, dimension: DataFrame, join: Join) -> DataFrame:
     return salted.join(right, condition, join.how).drop(key, "__salt", "__copy")
 
 
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark, by its own estimate, would broadcast a table on its side of a join."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= _bytes(limit)
+
+
+def _bytes(text: str) -> int:
+    """A size setting as a number of bytes."""
+    number = text.lower().rstrip("b")
+    unit = number[-1:] if number[-1:] in "kmgt" else ""
+    return int(number.removesuffix(unit)) << 10 * (" kmgt".index(unit) if unit else 0)
+
+
 def folded(tables: Mapping[str, DataFrame], wide: Wide) -> list[tuple[Join, DataFrame]]:
     """The joins that the fact takes part in, each with its dimension.
 
     A left join whose key comes from an earlier left join is done within that dimension
-    beforehand. The rows are the same, but the fact is not shuffled by the later key,
-    which is often an uneven one.
+    beforehand, if that dimension is too large to broadcast. The rows are the same, but the
+    fact is not shuffled by the later key, which is often an uneven one. Dimensions that are
+    broadcast stay a chain, in which the fact is not shuffled at all.
     """
     joins = list(wide.joins)
     frames = [tables[j.table].select(*dict.fromkeys((j.right, *j.columns))) for j in joins]
@@ -57,6 +72,8 @@ def folded(tables: Mapping[str, DataFrame], wide: Wide) -> list[tuple[Join, Data
         before = joins[owner]
         if {join.how, before.how} != {"left"} or before.right in join.columns:
             continue
+        if _fits_broadcast(frames[owner]):
+            continue
         frames[owner] = attach(frames[owner], frames[at], join)
         joins[owner] = replace(before, columns=(*before.columns, *join.columns))
         joins[at] = None

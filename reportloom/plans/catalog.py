@@ -18,6 +18,7 @@ from reportloom.operators import cleaning, compare, contracts, governance, perio
 from reportloom.operators import problems, recon, report_query, staging, wide as wide_ops
 from reportloom.operators.marts import build_mart, build_stack
 from reportloom.operators.report_query import json_safe, query_report
+from reportloom.plans import batch
 from reportloom.plans.feeds import EVENT_FEED, LINE_FEED, event_feed, line_feed
 from reportloom.plans.trade import (
     CUSTOMER,
@@ -39,7 +40,7 @@ from reportloom.spec import Field, Join, Source, Wide
 from reportloom.streaming.inbox import StreamedInbox
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(batch.QUERIES)
 AS_OF = dt.date(1998, 6, 15)
 
 

@@ -5,6 +5,8 @@ They are written from the meaning of each query, with whole tables as input.
 
 from __future__ import annotations
 
+from reportloom.plans import batch
+
 WHITE = "' ' || chr(9) || chr(12288)"
 
 LINES = """lines AS (
@@ -369,6 +371,7 @@ def grain(name: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    **batch.ORACLES,
     "discovered_row_counts": """
       SELECT 'orders' AS source, 'orders.parquet' AS file, count(*) AS rows FROM orders
       UNION ALL SELECT 'customer', 'customer.parquet', count(*) FROM customer

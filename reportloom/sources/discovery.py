@@ -13,20 +13,20 @@ READABLE = (".csv",)
 
 
 def list_files(spark: SparkSession, inbox: str) -> DataFrame:
-    """Path, file name, time and size of the files in a folder, empty ones included, as
-    the session's file system lists them: one row per file of the inbox."""
+    """Path, file name, time and size of what was dropped in a folder, empty files included,
+    as the session's file system lists them: one row per drop of the inbox.
+
+    A drop is a file, or a folder of part files that has the name of a readable file.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(inbox)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = [
-        (
-            entry.getPath().toString(),
-            entry.getPath().getName(),
-            entry.getModificationTime(),
-            entry.getLen(),
-        )
-        for entry in files.listStatus(folder)
-        if entry.isFile()
-    ]
+    rows = []
+    for entry in files.listStatus(folder):
+        name = entry.getPath().getName()
+        if not entry.isFile() and not name.lower().endswith(READABLE):
+            continue
+        size = entry.getLen() if entry.isFile() else files.getContentSummary(entry.getPath()).getLength()
+        rows.append((entry.getPath().toString(), name, entry.getModificationTime(), size))
     listed = spark.createDataFrame(rows, "path string, file string, ms bigint, length bigint")
     return listed.select("path", "file", F.timestamp_millis("ms").alias("modified"), "length")
 

@@ -43,3 +43,31 @@ def test_violations_read_their_feed_once_per_shuffle(spark, sf_dir):
     df = contracts.violations(declared_lines(spark, sf_dir), LINE_FEED)
     df.collect()
     assert plan_of(df).count("ReusedExchange") >= 2
+
+
+def formatted(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_dimensions_are_broadcast_in_a_chain(spark, sf_dir):
+    """The fact is not shuffled for dimensions that fit; the one exchange is the report's."""
+    plan = formatted(QUERIES["wide_left"](spark, sf_dir))
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_large_dimensions_are_joined_among_themselves_first(spark, sf_dir):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        rows = sorted(map(tuple, QUERIES["wide_left"](spark, sf_dir).collect()))
+        plan = formatted(QUERIES["wide_left"](spark, sf_dir))
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    assert plan.count("SortMergeJoin") == 4
+    # Only one of the four joins has the fact as its left side.
+    assert sum("order_key" in line for line in plan.splitlines() if "SortMergeJoin" in line) == 1
+    assert rows == sorted(map(tuple, QUERIES["wide_left"](spark, sf_dir).collect()))
