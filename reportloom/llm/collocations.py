@@ -5,11 +5,12 @@ its piece, padded behind. Only these windows are counted. Spark's ROLLUP over th
 columns then sums them into the counts of all shorter phrases, because a phrase occurs as
 often as it begins a window; there is no explosion of 1-, 2-, 3- and 4-grams.
 
-Windows are padded early, at the first word or pair of words that a sieve proves to be rarer
-than `least`. The sieve counts words and pairs by 64-bit hashes and keeps a bit per slot for
-the frequent ones, in a table of SIEVE_BITS bits whatever the size of the corpus. A slot that
-several share only keeps windows longer than needed. A phrase that is frequent has frequent
-words and pairs only, so its count stays exact; counts below `least` are not used.
+Windows are padded early, where a sieve proves the words up to there to be rarer than
+`least` together. A sieve counts hashes of HASH_BITS bits and keeps a bit per slot for the frequent
+ones, in a table of 2 ** SIEVE_BITS bits whatever the size of the corpus. A slot that several
+share only keeps windows longer than needed. The first sieve is for words and pairs, the
+second for three and four words whose pairs pass the first. A frequent phrase passes with all
+its beginnings, so its count stays exact; counts below `least` are not used.
 
 Null texts count as empty, null languages as `und`. Rows are not identified, so repeated
 rows count as often as they stand there, and other columns do not matter. A table without
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.llm import word_bytes
@@ -32,9 +34,13 @@ BLANKS = b" \t"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 
 ORDER = 4
+HASH_BITS = 40
 SIEVE_BITS = 26
 # A task holds about so many different hashes before it hands their counts on.
-HELD = 3_000_000
+HELD = 1 << 20
+BLOCK_BYTES = 2 << 20
+# Stands between the words of a window; no word has it.
+GLUE = "\t"
 
 WINDOW = [f"w{i}" for i in range(1, ORDER + 1)]
 KINDS = word_bytes.byte_kinds(BLANKS, ENDS)
@@ -49,11 +55,24 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
-def _hashed(block: word_bytes.Block, lang: np.ndarray, lang_hash: np.ndarray):
-    """Hashes of all words and of all pairs of neighbours; whether a pair is in one piece."""
+def _joined(block: word_bytes.Block, size: int) -> np.ndarray:
+    """Whether so many words from each word on are in one piece."""
+    here = np.zeros(len(block.ids), bool)
+    n = max(0, len(here) - size + 1)
+    here[:n] = block.piece[:n] == block.piece[size - 1 :]
+    return here
+
+
+def _run_hashes(block: word_bytes.Block, lang: np.ndarray, lang_hash: np.ndarray):
+    """Hashes of the 1, 2, 3 and 4 words from each word on; without meaning across pieces."""
     base = word_bytes.hashes(block.words)[block.ids] ^ lang_hash[lang[block.row]]
-    pair = base[:-1] * np.uint64(0xD6E8FEB86659FD93) + base[1:]
-    return word_bytes.mixed(base), word_bytes.mixed(pair), block.piece[:-1] == block.piece[1:]
+    run, out = base, []
+    for lead in range(ORDER):
+        if lead:
+            follower = np.concatenate((base[lead:], np.zeros(min(lead, len(base)), np.uint64)))
+            run = run * np.uint64(0xD6E8FEB86659FD93) + follower
+        out.append(word_bytes.mixed(run))
+    return out
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +83,28 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def hash_counts(texts: DataFrame) -> DataFrame:
-    """h, n: words and pairs of words by hash, pre-aggregated within tasks."""
+def _pairs_pass(block, runs, first: np.ndarray) -> np.ndarray:
+    """Whether each word starts a pair that passes the first sieve."""
+    return _joined(block, 2) & _passes(first, runs[1])
+
+
+def hash_counts(texts: DataFrame, first: bytes | None = None) -> DataFrame:
+    """h, n: runs of words by hash, pre-aggregated within tasks.
+
+    Without the first sieve of words and pairs, else of three and four words whose pairs
+    pass it.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(first)
+
+    def chosen(block, runs) -> np.ndarray:
+        if shared.value is None:
+            return np.concatenate((runs[0], runs[1][_joined(block, 2)]))
+        go = _pairs_pass(block, runs, np.frombuffer(shared.value, np.uint8))
+        go = np.concatenate((go, np.zeros(ORDER, bool)))
+        n = len(block.ids)
+        three = go[:n] & go[1 : n + 1]
+        four = three & go[2 : n + 2]
+        return np.concatenate((runs[2][three], runs[3][four]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -82,9 +121,10 @@ def hash_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             lang, names = _languages(batch.column(0))
             lang_hash = _lang_hash(names)
-            for block in word_bytes.blocks(batch.column(1), KINDS, lower=True):
-                word, pair, joined = _hashed(block, lang, lang_hash)
-                key, count = np.unique(np.concatenate((word, pair[joined])), return_counts=True)
+            for block in word_bytes.blocks(batch.column(1), KINDS, True, BLOCK_BYTES):
+                runs = _run_hashes(block, lang, lang_hash)
+                short = chosen(block, runs) >> np.uint64(64 - HASH_BITS)
+                key, count = np.unique(short, return_counts=True)
                 keys.append(key)
                 counts.append(count.astype(np.int64))
                 held += len(key)
@@ -100,15 +140,16 @@ def hash_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, n bigint")
 
 
-def sieve_of(texts: DataFrame, least: int) -> bytes:
-    """A bit per slot of hashes: whether a word or pair in it occurs at least so often.
+def sieve_of(texts: DataFrame, least: int, first: bytes | None = None) -> bytes:
+    """A bit per slot of hashes: whether a run of words in it occurs at least so often.
 
     At most 2 ** SIEVE_BITS bits reach the driver.
     """
-    frequent = hash_counts(texts).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    slot = F.shiftrightunsigned("h", 64 - SIEVE_BITS) + 1
+    counted = hash_counts(texts, first).groupBy("h").agg(F.sum("n").alias("n"))
+    slot = F.shiftrightunsigned("h", HASH_BITS - SIEVE_BITS) + 1
     parts = (
-        frequent.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
+        counted.where(F.col("n") >= least)
+        .groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
         .collect()
     )
@@ -124,18 +165,18 @@ def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (sieve[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _windows(block, lang, lang_hash, sieve):
+def _windows(block, lang, lang_hash, first, second):
     """Different windows of a block as columns of word numbers (-1: padded), and their counts."""
-    word, pair, joined = _hashed(block, lang, lang_hash)
-    n = len(word)
-    go = np.zeros(n + ORDER, bool)
-    go[: n - 1] = joined & _passes(sieve, pair)
+    runs = _run_hashes(block, lang, lang_hash)
+    n = len(block.ids)
     ids = np.concatenate((block.ids, np.full(ORDER, -1)))
-    here = _passes(sieve, word)
-    columns = [lang[block.row]]
+    here, columns = _passes(first, runs[0]), [lang[block.row]]
     for lead in range(ORDER):
+        if lead == 1:
+            here = here & _pairs_pass(block, runs, first)
+        elif lead:
+            here = here & _joined(block, lead + 1) & _passes(second, runs[lead])
         columns.append(np.where(here, ids[lead : lead + n], -1))
-        here = here & go[lead : lead + n]
     keys = [c + 1 for c in columns]
     packed = (keys[0] << 32) | keys[1], (keys[2] << 32) | keys[3], keys[4]
     order = np.lexsort(packed[::-1])
@@ -144,38 +185,39 @@ def _windows(block, lang, lang_hash, sieve):
     for key in packed:
         key = key[order]
         new[1:] |= key[1:] != key[:-1]
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, n))
-    return [c[order[first]] for c in columns], count
+    at = np.flatnonzero(new)
+    return [c[order[at]] for c in columns], np.diff(np.append(at, n))
 
 
-def longest_windows(texts: DataFrame, sieve: bytes) -> DataFrame:
-    """lang, w1 to w4, n: padded longest windows, pre-aggregated within blocks.
+def longest_windows(texts: DataFrame, first: bytes, second: bytes) -> DataFrame:
+    """lang, window, n: padded longest windows, pre-aggregated within blocks.
 
-    A padded place is the empty string, which no word is.
+    A window is its four words between GLUE; a padded place is the empty string, which no
+    word is.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sieve)
+    shared = texts.sparkSession.sparkContext.broadcast((first, second))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        sieves = [np.frombuffer(sieve, np.uint8) for sieve in shared.value]
         for batch in batches:
             lang, names = _languages(batch.column(0))
             lang_hash = _lang_hash(names)
-            for block in word_bytes.blocks(batch.column(1), KINDS, lower=True):
+            for block in word_bytes.blocks(batch.column(1), KINDS, True, BLOCK_BYTES):
                 if not len(block.ids):
                     continue
-                columns, count = _windows(block, lang, lang_hash, bits)
+                columns, count = _windows(block, lang, lang_hash, *sieves)
                 words = pa.array([*block.words, b""], pa.binary()).cast(pa.string())
+                places = [words.take(pa.array(c % len(words))) for c in columns[1:]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names, pa.string()).take(pa.array(columns[0])),
-                        *(words.take(pa.array(c % len(words))) for c in columns[1:]),
+                        pc.binary_join_element_wise(*places, GLUE),
                         pa.array(count, pa.int64()),
                     ],
-                    names=["lang", *WINDOW, "n"],
+                    names=["lang", "window", "n"],
                 )
 
-    return texts.mapInArrow(run, f"lang string, {', '.join(f'{w} string' for w in WINDOW)}, n bigint")
+    return texts.mapInArrow(run, "lang string, window string, n bigint")
 
 
 def phrase_counts(df: DataFrame, text: str, lang: str, least: int) -> DataFrame:
@@ -187,8 +229,14 @@ def phrase_counts(df: DataFrame, text: str, lang: str, least: int) -> DataFrame:
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    windows = longest_windows(texts, sieve_of(texts, least))
-    counted = windows.groupBy("lang", *WINDOW).agg(F.sum("n").alias("n"))
+    first = sieve_of(texts, least)
+    windows = longest_windows(texts, first, sieve_of(texts, least, first))
+    place = F.split("window", GLUE, -1)
+    counted = (
+        windows.groupBy("lang", "window")
+        .agg(F.sum("n").alias("n"))
+        .select("lang", *[place[i].alias(name) for i, name in enumerate(WINDOW)], "n")
+    )
     rolled = counted.rollup("lang", *WINDOW).agg(
         F.sum("n").alias("f"), F.grouping_id().alias("level")
     )
