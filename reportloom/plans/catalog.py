@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportloom.functions.scalars import percent, ten_thousands
-from reportloom.operators import cleaning, compare, contracts, governance, periods, profiling
-from reportloom.operators import problems, recon, report_query, staging, wide as wide_ops
+from reportloom.operators import cleaning, compare, contracts, governance, inclusion, periods
+from reportloom.operators import problems, profiling, recon, report_query, staging, wide as wide_ops
 from reportloom.operators.marts import build_mart, build_stack
 from reportloom.operators.report_query import json_safe, query_report
 from reportloom.plans import batch
@@ -774,6 +774,32 @@ def join_suggest(spark, sf_dir):
     return profiling.suggest_joins(profiling.profile_tables(tables), entities)
 
 
+KEY_COLUMNS = (
+    ("sales_lines", "order_key"),
+    ("sales_lines", "part_key"),
+    ("orders", "order_key"),
+    ("orders", "cust_key"),
+    ("customer", "cust_key"),
+    ("customer", "nation_key"),
+    ("nation", "nation_key"),
+    ("nation", "region_key"),
+    ("region", "region_key"),
+)
+
+
+@query
+def key_inclusions(spark, sf_dir):
+    """How far the values of each key column are contained in each other one."""
+    return inclusion.inclusions(named_tables(spark, sf_dir), KEY_COLUMNS)
+
+
+@query
+def join_containment(spark, sf_dir):
+    """Suggested joins with the share of the fact's keys that the dimension has."""
+    found = inclusion.inclusions(named_tables(spark, sf_dir), KEY_COLUMNS)
+    return inclusion.with_containment(join_suggest(spark, sf_dir), found)
+
+
 @query
 def guess_entities(spark, sf_dir):
     return profiling.guess_entities(profiling.table_sizes(named_tables(spark, sf_dir)))

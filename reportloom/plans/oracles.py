@@ -370,7 +370,33 @@ def grain(name: str) -> str:
     )
 
 
+INCLUDED = """v AS (
+  SELECT DISTINCT t, c, v FROM (
+    SELECT 'sales_lines' AS t, 'order_key' AS c, l_orderkey AS v FROM lineitem
+      WHERE l_orderkey IS NOT NULL AND l_shipdate IS NOT NULL
+    UNION ALL SELECT 'sales_lines', 'part_key', l_partkey FROM lineitem
+      WHERE l_orderkey IS NOT NULL AND l_shipdate IS NOT NULL
+    UNION ALL SELECT 'orders', 'order_key', o_orderkey FROM orders
+    UNION ALL SELECT 'orders', 'cust_key', o_custkey FROM orders WHERE o_orderkey IS NOT NULL
+    UNION ALL SELECT 'customer', 'cust_key', c_custkey FROM customer
+    UNION ALL SELECT 'customer', 'nation_key', c_nationkey FROM customer WHERE c_custkey IS NOT NULL
+    UNION ALL SELECT 'nation', 'nation_key', n_nationkey FROM nation
+    UNION ALL SELECT 'nation', 'region_key', n_regionkey FROM nation WHERE n_nationkey IS NOT NULL
+    UNION ALL SELECT 'region', 'region_key', r_regionkey FROM region) WHERE v IS NOT NULL
+), sizes AS (SELECT t, c, count(*) AS n FROM v GROUP BY t, c
+), included AS (
+  SELECT a.t AS table_name, a.c AS column_name, b.t AS in_table, b.c AS in_column,
+    any_value(n) AS distinct_values, count(*) AS shared, round(count(*) / any_value(n), 4) AS ratio
+  FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c)
+  JOIN sizes s ON s.t = a.t AND s.c = a.c GROUP BY 1, 2, 3, 4)"""
+
 ORACLES: dict[str, str] = {
+    "key_inclusions": f"WITH {INCLUDED} SELECT * FROM included",
+    "join_containment": f"""WITH {INCLUDED}
+      SELECT 'orders' AS fact, 'cust_key' AS column_name, 'customer' AS dim, ratio FROM included
+      WHERE table_name = 'orders' AND column_name = 'cust_key' AND in_table = 'customer'
+        AND in_column = 'cust_key'
+        AND (SELECT count(DISTINCT c_custkey) = count(*) FROM customer)""",
     **batch.ORACLES,
     "discovered_row_counts": """
       SELECT 'orders' AS source, 'orders.parquet' AS file, count(*) AS rows FROM orders

@@ -163,3 +163,38 @@ def test_entities_and_joins(spark):
     named = profiling.guess_entities(profiling.table_sizes({"x订单": dims, "big": facts.union(facts)}))
     assert rows(named, "table_name", "entity") == [("big", "dim"), ("x订单", "fact")]
     assert rows(profiling.profile_summary(entities)) == [(2, 1, 1, 9)]
+
+
+def test_inclusions_equal_sets_of_values(spark):
+    import random
+
+    from reportloom.operators.inclusion import inclusions, with_containment
+
+    rng = random.Random(7)
+    # More columns than bits of one number.
+    frames, values = {}, {}
+    for t in range(5):
+        names = [f"c{i}" for i in range(14)]
+        data = [[rng.choice([None, *range(i, 3 * i + 2)]) for i in range(14)] for _ in range(20)]
+        frames[f"t{t}"] = spark.createDataFrame(data, ", ".join(f"{n} int" for n in names))
+        for i, n in enumerate(names):
+            values[f"t{t}", n] = {row[i] for row in data} - {None}
+    expected = sorted(
+        (*a, *b, len(values[a]), len(values[a] & values[b]), round(len(values[a] & values[b]) / len(values[a]), 4))
+        for a in values for b in values if a != b and values[a] & values[b]
+    )
+    found = inclusions(frames, list(values))
+    assert sorted(map(tuple, found.collect())) == expected
+    assert inclusions(frames, list(values), 1.0).count() == sum(e[-1] == 1.0 for e in expected)
+    suggested = spark.createDataFrame([("t0", "c3", "t1"), ("t0", "none", "t2")], "fact string, column_name string, dim string")
+    ratios = {r.column_name: r.ratio for r in with_containment(suggested, found).collect()}
+    share = len(values["t0", "c3"] & values["t1", "c3"]) / len(values["t0", "c3"])
+    assert ratios == {"c3": round(share, 4), "none": 0.0}
+
+
+def test_inclusions_shuffle_values_once(spark):
+    df = spark.range(10).selectExpr("id as a", "id % 3 as b")
+    from reportloom.operators.inclusion import value_sets
+
+    plan = value_sets({"t": df}, [("t", "a"), ("t", "b")])._jdf.queryExecution().toString()
+    assert "ObjectHashAggregate" not in plan and "Join" not in plan
