@@ -14,24 +14,30 @@ position, which only positional matching looks at. The likeness of two fingerpri
 number of slots that agree over the number of slots in use, an estimate of the share of
 numbered anchors that two texts share.
 
-Texts are cut into chunks before anything is worked out per character, so that memory does
-not grow with the length of a text.
+Texts are cut into chunks before anything is worked out per character. Of a whole text only
+its anchors are held, less than a quarter of its length in numbers: sorted, numbered and
+reduced to their slots in one expression per text, so none of them is ever a row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.llm.common import whole
 
 S, WINDOW = 9, 8
 K = S + WINDOW - 1
-SLOTS = 64
+SLOT_BITS = 6
+SLOTS = 1 << SLOT_BITS
 CHUNK = 1 << 15
 MARK = "\x02"
 UTF32 = "UTF-32"
-# The smallest hash of a slot is kept as 35 bits of hash above 28 bits of position.
+PIECES = "array<struct<at:int,units:binary>>"
+# A hash stands above 28 bits of position.
 POSITION_BITS = 28
+SLOT_SHIFT = 63 - SLOT_BITS
 
 
 def _let(value: Column, body) -> Column:
@@ -39,93 +45,131 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _chunks(text: Column) -> Column:
-    """The marked text as UTF-32 pieces that overlap by K - 1 code points."""
+def _chunks(text: Column, first: Column) -> Column:
+    """The marked text from its k-mer of number first on, as UTF-32 pieces that overlap by
+    K - 1 code points; none of a text without such a k-mer."""
     units = F.encode(F.concat(F.lit(MARK * (K - 1)), text), UTF32)
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(CHUNK))
+    starts = F.sequence(first, F.greatest(F.char_length(text) - 1, first), F.lit(CHUNK))
     pieces = _let(
         units,
         lambda u: F.transform(
-            starts, lambda at: F.substring(u, at * 4 + 1, F.lit(4 * (CHUNK + K - 1)))
+            starts,
+            lambda at: F.struct(
+                at.alias("at"), F.substring(u, at * 4 + 1, F.lit(4 * (CHUNK + K - 1))).alias("units")
+            ),
         ),
     )
-    return F.when(F.char_length(text) > 0, pieces)
+    return F.when(F.char_length(text) > first, pieces).otherwise(F.array().cast(PIECES))
 
 
 def _hashes(chunk: Column) -> Column:
     """The hash of every s-mer of a chunk."""
-    return _let(
-        chunk,
-        lambda c: F.transform(
-            F.sequence(F.lit(1), F.octet_length(c) - (4 * S - 1), F.lit(4)),
-            lambda at: F.xxhash64(F.substring(c, at, F.lit(4 * S))),
-        ),
+    return F.transform(
+        F.sequence(F.lit(1), F.octet_length(chunk) - (4 * S - 1), F.lit(4)),
+        lambda at: F.xxhash64(F.substring(chunk, at, F.lit(4 * S))),
     )
 
 
-def anchors(
-    df: DataFrame, keys: tuple[str, ...], text: str = "text", every: bool = False
-) -> DataFrame:
+def _chosen(h: Column, at: Column) -> Column:
+    """Whether the smallest of WINDOW hashes is the first or the last of them."""
+    first, last = F.get(h, at), F.get(h, at + (WINDOW - 1))
+
+    def smallest(outer: Column, others: range) -> Column:
+        return reduce(Column.__and__, [outer <= F.get(h, at + j) for j in others])
+
+    # The smaller of the two is compared; most comparisons end at the first or second.
+    return F.when(first <= last, smallest(first, range(1, WINDOW - 1))).otherwise(
+        smallest(last, range(WINDOW - 2, 0, -1))
+    )
+
+
+def _found(text: Column, first: Column, element) -> Column:
+    """An element of position and hash for each anchor of a text from a position on."""
+
+    def of_chunk(piece: Column) -> Column:
+        return _let(
+            _hashes(piece["units"]),
+            lambda h: F.transform(
+                F.filter(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda at: _chosen(h, at)),
+                # The two outer s-mers overlap, so they hold the whole k-mer.
+                lambda at: element(
+                    (piece["at"] + at).cast("long"),
+                    F.xxhash64(F.get(h, at), F.get(h, at + (WINDOW - 1))),
+                ),
+            ),
+        )
+
+    return F.flatten(F.transform(_chunks(text, first), of_chunk))
+
+
+def anchors(df: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
     """One row per anchor of every text: keys, position, anchor (its hash).
 
     Positions are those of the k-mer's last code point, from 0. An empty or null text has
-    no anchor, and a short one may have none. With every, each row of the table has one
-    more row, with a null anchor, if its first k-mer is none.
+    no anchor, and a short one may have none.
     """
-    pieces = df.select(
-        *keys, F.posexplode_outer(_chunks(whole(F.col(text)))).alias("__no", "__chunk")
+    placed = _found(
+        whole(F.col(text)), F.lit(0), lambda p, a: F.struct(p.alias("position"), a.alias("anchor"))
     )
-    hashed = pieces.select(
-        *keys, "__no", F.when(F.col("__chunk").isNotNull(), _hashes(F.col("__chunk"))).alias("__h")
+    return df.select(*keys, F.explode(placed).alias("__a")).select(
+        *keys, F.col("__a.position").alias("position"), F.col("__a.anchor").alias("anchor")
     )
-    each = hashed.select(*keys, "__no", "__h", F.posexplode_outer("__h").alias("__at", "__first"))
-    last = F.get("__h", F.col("__at") + (WINDOW - 1))
-    inner = F.least(*[F.get("__h", F.col("__at") + j) for j in range(1, WINDOW - 1)])
-    first = F.col("__first")
-    chosen = F.col("__at").isNotNull() & (F.col("__at") + WINDOW <= F.size("__h")) & (
-        ((first <= inner) & (first <= last)) | ((last <= inner) & (last <= first))
-    )
-    leading = F.col("__at").isNull() | ((F.col("__no") == 0) & (F.col("__at") == 0))
-    # The two outer s-mers overlap, so they hold the whole k-mer.
-    value = F.xxhash64("__first", last)
-    return each.where((chosen | leading) if every else chosen).select(
-        *keys,
-        (F.col("__no") * CHUNK + F.col("__at")).cast("long").alias("position"),
-        (F.when(chosen, value) if every else value).alias("anchor"),
-    )
-
 
-def slot_minima(anchor_rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Per key and slot in use: keys, slot, and the smallest packed values of the slot in
-    the text and in its edited form, own and other.
 
-    The rows have a column __form: 0 are those of the text alone, 1 of the edited form
-    alone, 2 those of both, which stand before all others. Rows with a null anchor give one
-    row per key with a null slot.
-    """
+def _packed(text: Column, first: Column) -> Column:
+    """Anchors as numbers: 35 bits of hash above the position."""
     most = (1 << POSITION_BITS) - 1
-    form = F.col("__form")
-    # By anchor first: its prefix tells most rows apart when they are sorted.
-    before = (
-        Window.partitionBy("anchor", *keys)
-        .orderBy("position", "__form")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    number = F.when(form == 1, F.count(F.when(form != 0, 1)).over(before)).otherwise(
-        F.count(F.when(form != 1, 1)).over(before)
+    return _found(
+        text,
+        first,
+        lambda position, anchor: F.shiftleft(
+            F.shiftrightunsigned(anchor, POSITION_BITS + 1), POSITION_BITS
+        ).bitwiseOR(F.least(position, F.lit(most))),
     )
-    counted = anchor_rows.withColumn("__number", number)
-    value = F.when(F.col("anchor").isNotNull(), F.xxhash64("anchor", "__number"))
-    packed = F.shiftleft(F.shiftrightunsigned(value, POSITION_BITS + 1), POSITION_BITS)
-    rows = counted.select(
-        *keys,
-        "__form",
-        F.pmod(value, F.lit(SLOTS)).cast("int").alias("slot"),
-        packed.bitwiseOR(F.least("position", F.lit(most))).alias("packed"),
+
+
+def _numbered(packed: Column) -> Column:
+    """Hashes of anchors with their occurrence numbers, each with its position, from packed
+    anchors in any order."""
+    value = lambda x: F.shiftrightunsigned(x, POSITION_BITS)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (value(F.get(s, i)) != value(F.get(s, i - 1))),
+        )
+
+        def numbers(b: Column, start: Column, r: Column) -> Column:
+            once = F.coalesce(F.get(b, r + 1), F.size(s)) - start == 1
+            several = F.transform(
+                F.sequence(start, F.coalesce(F.get(b, r + 1), F.size(s)) - 1),
+                lambda i: _slotted(F.get(s, i), i - start),
+            )
+            return F.when(once, F.array(_slotted(F.get(s, start), F.lit(0)))).otherwise(several)
+
+        return _let(starts, lambda b: F.flatten(F.transform(b, lambda start, r: numbers(b, start, r))))
+
+    sorted_runs = _let(F.sort_array(packed), runs)
+    return F.when(F.size(packed) > 0, sorted_runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _slotted(packed: Column, number: Column) -> Column:
+    """Slot, 29 bits of hash and position in one number that is smallest, within a slot, for
+    the smallest hash."""
+    hashed = F.xxhash64(F.shiftrightunsigned(packed, POSITION_BITS), number)
+    return F.shiftleft(F.shiftrightunsigned(hashed, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(
+        packed.bitwiseAND((1 << POSITION_BITS) - 1)
     )
-    return rows.groupBy(*keys, "slot").agg(
-        F.min(F.when(form != 1, F.col("packed"))).alias("own"),
-        F.min(F.when(form != 0, F.col("packed"))).alias("other"),
+
+
+def slot_minima(packed: Column) -> Column:
+    """Of packed anchors the smallest in each slot in use, ordered by slot."""
+    slot = lambda x: F.shiftrightunsigned(x, SLOT_SHIFT)
+    return _let(
+        F.sort_array(_numbered(packed)),
+        lambda v: F.filter(
+            v, lambda x, i: (i == 0) | (slot(x) != slot(F.get(v, i - 1)))
+        ),
     )
 
 
@@ -133,8 +177,9 @@ def entries(slots: Column) -> Column:
     """Slot and 16 bits of hash of each slot in use, as numbers."""
     return F.transform(
         slots,
-        lambda s: (
-            s["slot"] * 65536 + F.shiftright(s["packed"], POSITION_BITS).bitwiseAND(0xFFFF)
+        lambda x: (
+            F.shiftrightunsigned(x, SLOT_SHIFT) * 65536
+            + F.shiftright(x, POSITION_BITS).bitwiseAND(0xFFFF)
         ).cast("int"),
     )
 
@@ -155,47 +200,96 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same / used).cast("double")
 
 
-def with_stretches(df: DataFrame, document: str, stretches: int) -> DataFrame:
-    """The rows in stretches of neighbouring numbers, the first row of each also, as a
-    guest, at the end of the stretch before it; columns __stretch and __guest.
+def _text_number(text: Column) -> Column:
+    """The first seven bytes of a text as a number that orders texts like their bytes."""
+    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def _above(value: Column, edges: list[float]) -> Column:
+    """How many of the edges a value has reached."""
+    return reduce(Column.__add__, [(value >= e).cast("long") for e in edges], F.lit(0).cast("long"))
 
-    Stretches are quantiles of the number, divided evenly. The first row of the first
-    stretch is the guest of the last one. Only a table with a row per stretch is broadcast.
+
+def with_stretches(df: DataFrame, document: str, text: str, stretches: int) -> DataFrame:
+    """The rows in stretches of neighbours, the first row of each also, as a guest, at the
+    end of the stretch before it; columns __stretch and __guest.
+
+    Stretches are quantiles of the number, divided evenly. A number that many rows have, or
+    that many lack, is divided again by quantiles of the beginning of the text, which comes
+    second in the order of rows; rows that agree in both stay together. The first row of the
+    first stretch is the guest of the last one. Only a table with a row per stretch is
+    broadcast.
     """
-    number = F.col(document).cast("double")
     coarse = min(64, stretches)
-    shares = [i / coarse for i in range(coarse + 1)]
-    bounds = df.agg(F.percentile_approx(number, shares, 10_000).alias("b")).first()["b"]
-    edges = sorted(set(bounds or []))
     fine = max(1, -(-stretches // coarse))
+    shares = [i / coarse for i in range(coarse + 1)]
+    number, beginning = F.col(document).cast("double"), _text_number(F.col(text))
+    seen = df.agg(
+        F.percentile_approx(number, shares, 10_000).alias("bounds"),
+        F.count(F.lit(1)).alias("n"),
+        F.count(number).alias("numbered"),
+    ).first()
+    bounds = seen["bounds"] or []
+    edges = sorted(set(bounds))
+    # Beyond 2 ** 53 different numbers may look equal here.
+    hot = sorted({x for x, y in zip(bounds, bounds[1:]) if x == y and abs(x) < 1 << 53})
+    unnumbered = (seen["n"] - seen["numbered"]) * coarse >= max(1, seen["n"])
+
     place = F.lit(0).cast("long")
     for i, (low, high) in enumerate(zip(edges, edges[1:])):
         inside = F.floor((number - low) / (high - low) * fine)
         place = F.when(
             number >= low, F.lit(i * fine) + F.greatest(F.lit(0), F.least(inside, F.lit(fine - 1)))
         ).otherwise(place)
+    # What lies below, at and above each frequent number is apart.
+    place = place * (2 * len(hot) + 1) + _above(number, hot)
+    place = place + reduce(Column.__add__, [(number > h).cast("long") for h in hot], F.lit(0))
+    sub = F.lit(0).cast("long")
+    if hot or unnumbered:
+        many = number.isin(hot) if hot else F.lit(False)
+        many = (many | number.isNull()) if unnumbered else many
+        parts = (
+            df.where(many)
+            .groupBy(number.alias("number"))
+            .agg(F.percentile_approx(beginning, shares, 10_000).alias("b"))
+            .collect()
+        )
+        for value, inner in parts:
+            here = number.eqNullSafe(F.lit(value).cast("double"))
+            sub = F.when(here, _above(beginning, sorted(set(inner))[1:])).otherwise(sub)
+    width = coarse + 1
     # Never null, so that no check for that sets equal shuffles apart.
-    placed = df.withColumn(
-        "__stretch",
-        F.coalesce(F.when(number.isNotNull(), place).cast("long"), F.lit(-1).cast("long")),
+    placed = df.withColumns(
+        {
+            "__stretch": F.coalesce(
+                F.when(number.isNull(), sub - width).otherwise(place * width + sub), F.lit(0).cast("long")
+            ),
+            "__mid": F.monotonically_increasing_id(),
+        }
     )
     # At most one row per stretch, so a window over all of them is small.
     around = Window.orderBy("__stretch").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    starts = placed.groupBy("__stretch").agg(F.min(document).alias("__start"))
-    starts = starts.withColumn(
-        "__before",
-        F.coalesce(
-            F.lag("__stretch").over(Window.orderBy("__stretch")),
-            F.max("__stretch").over(around),
-            F.lit(-1),
-        ),
+    order = F.struct(F.col(document).isNotNull(), F.col(document), F.col(text), F.col("__mid").alias("mid"))
+    starts = (
+        placed.groupBy("__stretch")
+        .agg(F.min(order).alias("__first"))
+        .select("__stretch", F.col("__first.mid").alias("__start"))
+        .withColumn(
+            "__before",
+            F.coalesce(
+                F.lag("__stretch").over(Window.orderBy("__stretch")),
+                F.max("__stretch").over(around),
+                F.lit(-1),
+            ),
+        )
     )
     joined = placed.join(F.broadcast(starts), "__stretch")
     own = F.struct(F.col("__stretch").alias("stretch"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("__before").alias("stretch"), F.lit(1).alias("guest"))
-    is_first = F.col(document).eqNullSafe(F.col("__start"))
+    is_first = F.col("__mid") == F.col("__start")
     return joined.select(
         *df.columns,
         F.explode(F.when(is_first, F.array(own, visit)).otherwise(F.array(own))).alias("__place"),
@@ -220,13 +314,12 @@ def compare_neighbours(
     the same position. A null text is empty; two empty texts have likeness 1. A table of
     one row is its own neighbour; an empty table gives no rows.
 
-    The texts are shuffled once, by stretch; digests and fingerprints come from the same
-    shuffled rows and meet in a join.
+    The texts are shuffled once, by stretch, and only fingerprints are compared after that.
     """
     spark = df.sparkSession
     stretches = stretches or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(document).alias("__id"), whole(F.col(text)).alias("__text"))
-    placed = with_stretches(rows, "__id", stretches)
+    placed = with_stretches(rows, "__id", "__text", stretches)
     order = Window.partitionBy("__stretch").orderBy(
         "__guest", F.col("__id").asc_nulls_first(), "__text"
     )
@@ -252,69 +345,38 @@ def compare_neighbours(
             F.substring(F.col("__next"), F.lit(1), cut),
         ).alias("__edited"),
     )
-    heads = texts.select(
-        *key, "__guest", "__id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256")
+    own = texts.withColumn("__a", _packed(F.col("__text"), F.lit(0)))
+    # Before the cut both forms have the same anchors.
+    early = F.filter(
+        "__a", lambda x: x.bitwiseAND((1 << POSITION_BITS) - 1) < F.col("__shared")
     )
-    both = texts.select(
+    tail = _packed(F.col("__edited"), F.col("__shared"))
+    numbered = own.select(
         *key,
-        "__shared",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("form"), F.col("__text").alias("text")),
-                F.struct(F.lit(1).alias("form"), F.col("__edited").alias("text")),
-            )
-        ).alias("__f"),
+        "__guest",
+        "__id",
+        "n_chars",
+        F.sha2("__edited", 256).alias("edited_sha256"),
+        slot_minima(F.col("__a")).alias("__a"),
+        slot_minima(F.concat(early, tail)).alias("__b"),
     ).select(
-        *key, "__shared", F.col("__f.form").alias("__form"), F.col("__f.text").alias("__text")
-    )
-    # All of this keeps the partitioning by stretch, so only finished rows are shuffled.
-    found = anchors(both, (*key, "__form", "__shared"), "__text", True)
-    # Before the cut both forms have the same anchors; those of the text stand for both.
-    early = F.coalesce(F.col("position") < F.col("__shared"), F.lit(True))
-    each = found.where(~early | (F.col("__form") == 0)).select(
-        *key,
-        F.when(early, F.lit(2)).otherwise(F.col("__form")).alias("__form"),
-        "position",
-        "anchor",
-    )
-    minima = slot_minima(each, key)
-    used = F.col("slot").isNotNull()
-    forms = minima.groupBy(*key).agg(
-        *[
-            F.sort_array(
-                F.collect_list(
-                    F.when(used & F.col(form).isNotNull(), F.struct("slot", F.col(form).alias("packed")))
-                )
-            ).alias(name)
-            for form, name in (("own", "__a"), ("other", "__b"))
-        ]
-    )
-    numbered = forms.select(
-        *key,
+        "*",
         entries(F.col("__a")).alias("__own"),
         entries(F.col("__b")).alias("__other"),
         F.size(F.array_intersect("__a", "__b")).cast("long").alias("n_anchors_kept"),
     )
     next_own = F.lead("__own").over(Window.partitionBy("__stretch").orderBy("__row"))
-    prints = numbered.withColumn("__following", next_own).select(
-        *key,
-        fingerprint_text(F.col("__own")).alias("fingerprint"),
-        fingerprint_text(F.col("__other")).alias("edited_fingerprint"),
-        likeness(F.col("__own"), F.col("__other")).alias("near_edited"),
-        likeness(F.col("__own"), F.col("__following")).alias("near_next"),
-        "n_anchors_kept",
-    )
     return (
-        heads.where("__guest = 0")
-        .join(prints, [*key])
+        numbered.withColumn("__following", next_own)
+        .where("__guest = 0")
         .select(
             F.col("__id").alias(document),
             "n_chars",
             "edited_sha256",
-            "fingerprint",
-            "edited_fingerprint",
-            "near_edited",
-            "near_next",
+            fingerprint_text(F.col("__own")).alias("fingerprint"),
+            fingerprint_text(F.col("__other")).alias("edited_fingerprint"),
+            likeness(F.col("__own"), F.col("__other")).alias("near_edited"),
+            likeness(F.col("__own"), F.col("__following")).alias("near_next"),
             "n_anchors_kept",
         )
     )
