@@ -257,8 +257,9 @@ def read_archives(
 ) -> DataFrame:
     """The chunk table of all archives; see the module for its rows.
 
-    Each file is a task of its own, whatever the number of records. A payload that does
-    not match the digest in its header fails the job. An empty payload has one chunk, and
+    Files are ranged by name over as many partitions as there are files, a number that
+    adaptive execution keeps although the list of names is tiny, so archives are read side
+    by side. A payload that does not match the digest in its header fails the job. An empty payload has one chunk, and
     so has a revisit record, whose figures come from its header. Without data only record,
     numbers and digests are given.
     """
@@ -292,7 +293,8 @@ def read_archives(
                 if rows:
                     yield _as_batch(rows, schema)
 
-    spread = archives.select(F.col(file)).repartition(F.col(file))
+    n_files = max(1, archives.count())
+    spread = archives.select(F.col(file)).repartitionByRange(n_files, F.col(file))
     return spread.mapInArrow(read, CHUNKS)
 
 
