@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,13 +39,13 @@ HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 # Parts that count only where a complementary part is near.
 IDENTIFIER = re.compile(
-    r"""\b(?:access_?key(?:_?id)?|key_?id|client_?id|user_?(?:name|id)?|login|account)\b"""
+    r"""(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|key_?id|client_?id|user_?(?:name|id)?|login|account)\b"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""",
     re.ASCII | re.IGNORECASE,
 )
 IDENTIFIER_WORDS = ("key", "client", "user", "login", "account")
 SHORT_SECRET = re.compile(
-    r"""\b(?:pwd|pass|auth|private_?key|credential)\b["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{4,})""",
+    r"""(?<![A-Za-z0-9])(?:pwd|pass|auth|private_?key|credential)\b["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{4,})""",
     re.ASCII | re.IGNORECASE,
 )
 SHORT_WORDS = ("pwd", "pass", "auth", "private", "credential")
@@ -81,24 +82,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers, secrets and endpoints that touch no base find and no earlier part."""
+    """Identifiers, secrets and endpoints that touch no base find, sorted by start.
+
+    Parts may overlap: an address can hold an identifier and a secret. Only a long string
+    without a name is no part where it touches another: paths look like that, and a value
+    with a name is that part already.
+    """
     low = text.lower()
     found = []
     if any(word in low for word in IDENTIFIER_WORDS):
         found += [(3, *m.span(1)) for m in IDENTIFIER.finditer(text)]
     if any(word in low for word in SHORT_WORDS):
         found += [(4, *m.span(1)) for m in SHORT_SECRET.finditer(text)]
-    if "://" in text:
-        found += [(5, *m.span()) for m in ENDPOINT.finditer(text)]
-    found += [(4, *m.span()) for m in LONG_SECRET.finditer(text) if _mixed(m[0])]
-    taken, parts = sorted((s, e) for _, s, e in base), []
-    for kind, start, end in sorted(found, key=lambda s: (s[1], s[0], -s[2])):
-        while taken and taken[0][1] <= start:
-            taken.pop(0)
-        if (taken and taken[0][0] < end) or (parts and parts[-1][2] > start):
-            continue
-        parts.append((kind, start, end))
-    return parts
+    addresses = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
+    found += [(5, *span) for span in addresses]
+    named = [span for _, *span in found]
+    long = [m.span() for m in LONG_SECRET.finditer(text) if _mixed(m[0])]
+    found += [(4, *span) for span in _clear_of(long, named)]
+    clear = set(_clear_of([p[1:] for p in found], [b[1:] for b in base]))
+    return sorted({p for p in found if p[1:] in clear}, key=lambda s: (s[1], s[0], s[2]))
+
+
+def _clear_of(
+    spans: list[tuple[int, int]], taken: list[tuple[int, int]]
+) -> list[tuple[int, int]]:
+    """The spans that touch none of the taken ones, which may overlap each other."""
+    merged: list[list[int]] = []
+    for start, end in sorted(taken):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    ends = [end for _, end in merged]
+
+    def free(start: int, end: int) -> bool:
+        at = bisect_right(ends, start)
+        return at == len(merged) or merged[at][0] >= end
+
+    return [span for span in spans if free(*span)]
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -132,7 +153,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 def linked_parts(scanned: DataFrame, key: str, scope: int = SCOPE) -> DataFrame:
     """The weak parts that belong to a credential: key, __linked (array of spans).
 
-    The table has one row per key.
+    The table has one row per key. Where linked parts of one role overlap, the first
+    counts, of equal starts the longest; parts of different roles may overlap.
     """
     kind = F.col("s.kind")
     parts = scanned.select(key, F.explode(F.concat("__base", "__weak")).alias("s")).select(
@@ -172,7 +194,25 @@ def linked_parts(scanned: DataFrame, key: str, scope: int = SCOPE) -> DataFrame:
         found.where(F.col("kind") >= 3)
         .groupBy(key)
         .agg(F.collect_set(F.struct("kind", "start", "end")).alias("__linked"))
+        .withColumn("__linked", first_of_overlaps(F.col("__linked")))
+    )
+
+
+def first_of_overlaps(spans: Column) -> Column:
+    """Spans without those that begin within an earlier one of their kind."""
+    by_kind = F.sort_array(
+        F.transform(spans, lambda s: F.struct(s["kind"], s["start"], (-s["end"]).alias("back"), s["end"]))
     )
+    ordered = F.transform(by_kind, lambda s: F.struct(s["kind"], s["start"], s["end"]))
+
+    def take(kept: Column, span: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        inside = (last["kind"] == span["kind"]) & (last["end"] > span["start"])
+        return F.when(F.coalesce(inside, F.lit(False)), kept).otherwise(
+            F.concat(kept, F.array(span))
+        )
+
+    return F.aggregate(ordered, F.array().cast(SPAN), take)
 
 
 def find_secrets(

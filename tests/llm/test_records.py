@@ -148,6 +148,15 @@ def test_a_changed_payload_is_noticed(spark):
         list(warc.read_records(io.BytesIO(data.replace(b"short", b"shore")), 100, True))
 
 
+def test_archives_are_read_side_by_side(spark):
+    rows = [(i, f"http://{i}", f"{i} " * 100) for i in range(80)]
+    archives = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(8), file_bytes=1)
+    n_files = archives.count()
+    assert n_files == 80
+    tasks = warc.read_archives(archives, with_data=False).select(F.spark_partition_id().alias("task"))
+    assert tasks.distinct().count() > n_files * 0.8
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], PAGES)
     assert warc.read_archives(warc.write_archives(none)).count() == 0
@@ -218,6 +227,52 @@ def test_weak_parts_count_only_together(spark):
     assert len(linked(spark, f"{edge} user=bob {KEY}")) == 2
 
 
+def test_parts_within_an_address_and_behind_underscores(spark):
+    address = "https://h.example/cb?client_id=abc77&pwd=hunter22"
+    assert linked(spark, address) == [
+        ("endpoint", address), ("identifier", "abc77"), ("secret", "hunter22")
+    ]
+    assert linked(spark, "DB_USER=bobby DB_PWD=hunter22") == [
+        ("identifier", "bobby"), ("secret", "hunter22")
+    ]
+    # A path is no secret, however long.
+    assert linked(spark, "user: bob at https://h.example/a1/b2C3d4E5f6G7h8I9j0K1l2M3n4") == []
+    # One secret where both patterns find one; a long identifier is no secret as well.
+    assert linked(spark, f"client_id={KEY}") == []
+    assert linked(spark, f"user=bob pwd={KEY}") == [("identifier", "bob"), ("secret", KEY)]
+
+
+def links_by_hand(spans, scope):
+    """All linked parts by comparing every triple, then the first of those that overlap."""
+    role = {1: "i", 3: "i", 5: "e"}
+    of = {r: [s for s in spans if role.get(s[0], "s") == r] for r in "ise"}
+    kept = set()
+    for s in of["s"]:
+        for i in of["i"]:
+            if abs(s[1] - i[1]) <= scope:
+                kept |= {s, i} | {e for e in of["e"] if abs(s[1] - e[1]) <= scope}
+    out = []
+    for s in sorted((s for s in kept if s[0] >= 3), key=lambda s: (s[0], s[1], -s[2])):
+        if not out or out[-1][0] != s[0] or out[-1][2] <= s[1]:
+            out.append(s)
+    return set(out)
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for key in range(300):
+        starts = [rng.randrange(400) for _ in range(rng.randrange(1, 14))]
+        spans = {(rng.randrange(6), s, s + rng.randrange(1, 40)) for s in starts}
+        base = [s for s in spans if s[0] < 3]
+        rows.append((key, base, [s for s in spans if s[0] >= 3]))
+    span = "array<struct<kind: int, start: bigint, end: bigint>>"
+    df = spark.createDataFrame(rows, f"id bigint, __base {span}, __weak {span}")
+    found = {r.id: {tuple(s) for s in r["__linked"]} for r in credentials.linked_parts(df, "id", 25).collect()}
+    for key, base, weak in rows:
+        assert found.get(key, set()) == links_by_hand(base + weak, 25)
+
+
 def test_redaction(spark, odd, clashing, empty):
     text = f"a token='abcdefgh1' b login: bob, pwd: 12pass c {KEY}"
     rows = [(1, text), (2, text), (3, None), (4, ""), (5, "login: bob"), (5, "login: bob")]
