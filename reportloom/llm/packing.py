@@ -7,12 +7,15 @@
 3. Gaps. Where nothing fits any more, a shorter piece is cut to fill the window.
 4. Shorter tiers, longest first, are packed the same way into windows of their own
    length, which need no padding as it is a power of two.
-5. Step groups. Windows of one tier are numbered, and as many as make up step_tokens
-   form a step group, so every step has the same number of tokens and one shape.
+5. Step groups. Windows of one tier are numbered over all tasks, by their number within
+   the task and the number of windows in the tasks before, and as many as make up
+   step_tokens form a step group. So every step but the last of a tier has the same number
+   of tokens, and all have one shape.
 
 A task packs the rows it reads, block by block, with the pieces of a block in memory.
 Windows that a block leaves open are filled by the next one, so a task ends with one
-padded sequence at most. Nothing is shuffled. Sequence numbers hold the task's number.
+padded sequence at most. The pieces are stored once, and only their counts by task and
+tier are shuffled. Sequence numbers hold the task's number.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from reportloom.llm.token_counts import safe_cut
+from reportloom.llm.common import stored
+from reportloom.llm.token_counts import PIECE_CHARS, Place, safe_cut, word_place
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 8 * 1024
@@ -86,9 +90,8 @@ def byte_bpe_encoder(path: str, ranks_path: str | None = None, pattern: str = ""
 class Packer:
     """Packs the pieces of one task."""
 
-    def __init__(self, task: int, tiers: tuple[int, ...], step_tokens: int) -> None:
+    def __init__(self, task: int, tiers: tuple[int, ...]) -> None:
         self.tiers = tuple(sorted(tiers, reverse=True))
-        self.step_tokens = step_tokens
         self.task = task
         self.next_sequence = task << TASK_SHIFT
         self.windows_of = dict.fromkeys(self.tiers, 0)
@@ -111,13 +114,12 @@ class Packer:
     def _emit(self, tier: int, pieces: list[tuple]) -> None:
         number = self.windows_of[tier]
         self.windows_of[tier] += 1
-        step = number // max(1, self.step_tokens // tier)
         offset = 0
         for ids, document, start, total in pieces:
             crc = zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
             self.out.append(
                 (document, start, len(ids), crc, total, self.next_sequence, offset, tier,
-                 f"{self.task}-{tier}-{step}")
+                 self.task, number)
             )
             offset += len(ids)
         self.next_sequence += 1
@@ -194,7 +196,7 @@ class Packer:
 
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-    "sequence_id bigint, offset bigint, tier bigint, step_group string"
+    "sequence_id bigint, offset bigint, tier bigint, __task bigint, __window bigint"
 )
 
 
@@ -207,11 +209,13 @@ def pack(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = STEP_TOKENS,
     block_tokens: int = BLOCK_TOKENS,
+    place: Place = word_place,
 ) -> DataFrame:
     """One row per piece: document, start and length in its tokens, the CRC-32 of its ids,
     the document's tokens, sequence, offset there, tier and step group.
 
-    encoder: called in each task, gives the function from a text to its ids. Each document
+    encoder: called in each task, gives the function from a text to its ids; place finds
+    where it lets a long text be cut (the default suits byte-level BPE). Each document
     is followed by end_id, so an empty or null text is one token. Repeated rows are packed
     each for itself, a null document number stays null. An empty table gives no rows.
     """
@@ -225,21 +229,21 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
+        packer = Packer(TaskContext.get().partitionId(), tiers)
         id_arrow = None
 
         def produced() -> pa.RecordBatch:
             columns = list(zip(*packer.out))
             packer.out = []
             arrays = [pa.array(columns[0], id_arrow)]
-            arrays += [pa.array(c, pa.int64()) for c in columns[1:-1]]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[-1])], names=names)
+            arrays += [pa.array(c, pa.int64()) for c in columns[1:]]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         held = 0
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             for number, text_value in zip(batch.column(0), batch.column(1)):
-                parts = (np.array(encode(p), np.uint32) for p in safe_cut(text_value.as_py()))
+                parts = (np.array(encode(p), np.uint32) for p in safe_cut(text_value.as_py(), PIECE_CHARS, place))
                 ids = np.concatenate([*parts, ends])
                 packer.add(ids, number.as_py())
                 held += len(ids)
@@ -252,4 +256,21 @@ def pack(
         if packer.out:
             yield produced()
 
-    return source.mapInArrow(run, schema)
+    return with_step_groups(stored(source.mapInArrow(run, schema), "packed"), step_tokens)
+
+
+def with_step_groups(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """Pieces with step_group (`tier-number`) in place of their task and window there."""
+    counts = pieces.groupBy("__task", "tier").agg((F.max("__window") + 1).alias("__n"))
+    before = Window.partitionBy("tier").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(
+        "__task", "tier", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
+    )
+    number = F.col("__first") + F.col("__window")
+    step = F.floor(number / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier"))))
+    group = F.concat_ws("-", F.col("tier").cast("string"), step.cast("string"))
+    return (
+        pieces.join(firsts, ["__task", "tier"])
+        .withColumn("step_group", group)
+        .select(*[c for c in pieces.columns if not c.startswith("__")], "step_group")
+    )

@@ -325,6 +325,45 @@ def test_token_counts_of_documents(spark, sf_dir, empty):
     assert token_counts.count_tokens(empty, MODEL).count() == 0
 
 
+@pytest.mark.parametrize("path", [MODEL, JSON])
+def test_cuts_do_not_change_counts(path):
+    counter, rng = token_counts.counter_for(path), random.Random(21)
+    words = ["data", "x1", "日本語の文", "東京", "。", "、", "(a)", "it's", "é", "e\u0301", "ﬁ", "2024",
+             "return", "\u2581", "<0x0A>", "<|endoftext|>", "𝔘", "한국", "กข"]
+    for _ in range(300):
+        gaps = rng.choice([[""], ["", " "], [" ", "\n"], ["\n    ", "\t", "  "], ["; ", ",", "\r\n"]])
+        text = "".join(rng.choice(words) + rng.choice(gaps) for _ in range(80))
+        pieces = token_counts.safe_cut(text, 9, counter.place)
+        assert "".join(pieces) == text
+        counts = counter.count(pieces, [i > 0 for i in range(len(pieces))])
+        assert sum(counts) == counter.count([text], [False])[0]
+
+
+@pytest.mark.parametrize("path", [MODEL, JSON])
+def test_texts_without_blanks_are_cut(path):
+    place = token_counts.counter_for(path).place
+    rng = random.Random(22)
+    japanese = "".join(rng.choice("日本語東京都市山川の、。") for _ in range(50_000))
+    code = "".join(f"f{i}(x)\n" for i in range(10_000))
+    for text in (japanese, code):
+        assert max(map(len, token_counts.safe_cut(text, 1000, place))) < 1200
+
+
+def test_batches_are_balanced_by_bytes():
+    import pyarrow as pa
+
+    sizes = []
+
+    def count(pieces, later):
+        sizes.append(sum(len(p.encode()) for p in pieces))
+        return [1] * len(pieces)
+
+    counter = token_counts.Counter(count, token_counts.blank_place)
+    texts = pa.array(["a" * 30, "語" * 10] * 500)
+    assert token_counts._lengths(texts, counter, 300, 100) == [1] * 1000
+    assert set(sizes) == {300}
+
+
 # -- packing -----------------------------------------------------------------
 def check_packed(found, texts):
     """All that must hold of pieces: found rows, and texts by document."""
@@ -372,6 +411,22 @@ def test_packing_of_documents(spark, sf_dir, empty, clashing):
     for step, tokens in {(r.step_group, r.sequence_id): r.tier for r in found}.items():
         steps[step[0]] += tokens
     assert max(steps.values()) <= packing.STEP_TOKENS
+    # One partial step per tier, whatever the number of tasks; no step mixes tiers.
+    partial = Counter(s.split("-")[0] for s, n in steps.items() if n < packing.STEP_TOKENS)
+    assert set(partial.values()) <= {1}
+
+
+def test_step_groups_span_tasks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8, "doc_id")
+    windows = packing.pack(docs, ENCODER).select("tier", "sequence_id", "step_group").distinct()
+    steps = windows.groupBy("tier", "step_group").count().collect()
+    for tier in {r.tier for r in steps}:
+        sizes = sorted(r["count"] for r in steps if r.tier == tier)
+        per_step = packing.STEP_TOKENS // tier
+        assert sizes[-1] <= per_step and sizes[1:] == [per_step] * (len(sizes) - 1)
+
+
+def test_packing_of_nothing(spark, empty, clashing):
     assert packing.pack(empty, ENCODER).count() == 0
     assert packing.pack(clashing, ENCODER).count() >= 12
 
