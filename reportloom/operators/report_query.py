@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reportloom.operators.marts import dimension_column, visible_columns
+from reportloom.operators.marts import visible_columns
+from reportloom.operators.membership import MEMBER, membership, rows_of, with_value
 from reportloom.spec import ReportModel, SpecError
 
 # The most rows that a page of a report can have.
@@ -29,28 +30,61 @@ def distinct_values(df: DataFrame, column: Column, name: str) -> DataFrame:
     return values.orderBy(F.asc_nulls_last(f"`{name}`"))
 
 
+def _needs_pairs(key: str, name: str) -> SpecError:
+    return SpecError(f"report {key}: filter {name} needs the wide table or the stored pairs")
+
+
 def option_values(
-    model: ReportModel, key: str, name: str, mart: DataFrame, wide_df: DataFrame | None = None
+    model: ReportModel,
+    key: str,
+    name: str,
+    mart: DataFrame,
+    wide_df: DataFrame | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct values of one filter: from the mart, or from the wide table when the
-    filter is no dimension of the mart."""
-    if name in model.report(key).filters:
-        if wide_df is None:
-            raise SpecError(f"report {key}: filter {name} needs the wide table")
-        return distinct_values(wide_df, F.col(model.dimension(name).column), name)
-    return distinct_values(mart, F.col(f"`{name}`"), name)
+    """Distinct values of one filter: from the mart, or, when the filter is no dimension of
+    the mart, from the stored pairs (see membership) or else the wide table."""
+    if name not in model.report(key).filters:
+        return distinct_values(mart, F.col(f"`{name}`"), name)
+    if members is not None:
+        return distinct_values(rows_of(members, name), F.col(f"`{name}`"), name)
+    if wide_df is None:
+        raise _needs_pairs(key, name)
+    return distinct_values(wide_df, F.col(model.dimension(name).column), name)
+
+
+def _stacked_values(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Distinct values of several columns as text in one pass: dimension, value."""
+    cells = [
+        F.struct(F.lit(name).alias("dimension"), column.cast("string").alias("value"))
+        for name, column in columns.items()
+    ]
+    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct()
 
 
 def filter_options(
-    model: ReportModel, key: str, mart: DataFrame, wide_df: DataFrame | None = None
+    model: ReportModel,
+    key: str,
+    mart: DataFrame,
+    wide_df: DataFrame | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
-    """All options of a report in long form: dimension, value (text)."""
-    parts = []
-    for name in filter_names(model, key):
-        values = option_values(model, key, name, mart, wide_df)
-        value = values[f"`{name}`"].cast("string").alias("value")
-        parts.append(values.select(F.lit(name).alias("dimension"), value))
-    return reduce(DataFrame.unionByName, parts)
+    """All options of a report in long form, in order: dimension, value (text).
+
+    One pass over the mart and one over the stored pairs, or else the wide table.
+    """
+    names = filter_names(model, key)
+    own = [n for n in names if n not in model.report(key).filters]
+    far = [n for n in names if n not in own]
+    parts = [_stacked_values(mart, {n: F.col(f"`{n}`") for n in own})] if own else []
+    if far and members is not None:
+        parts.append(_stacked_values(members, {n: F.col(f"`{n}`") for n in far}))
+    elif far:
+        if wide_df is None:
+            raise _needs_pairs(key, far[0])
+        columns = {n: F.col(model.dimension(n).column) for n in far}
+        parts.append(_stacked_values(wide_df, columns))
+    return reduce(DataFrame.unionByName, parts).orderBy("dimension", "value")
 
 
 def all_options(options: list[DataFrame]) -> DataFrame:
@@ -58,50 +92,43 @@ def all_options(options: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, options).distinct()
 
 
-def typed_literal(df: DataFrame, column: str, value: object) -> Column:
-    """A filter value in the type of its column; text that does not fit is NULL."""
-    kind = df.select(F.col(f"`{column}`")).schema[0].dataType
-    return F.lit(value if value is None else str(value)).try_cast(kind)
-
-
-def is_option(df: DataFrame, column: str, value: object) -> bool:
-    """Whether a value occurs in a column; the search ends at the first hit."""
-    found = df.where(F.col(f"`{column}`") == typed_literal(df, column, value))
-    return not found.limit(1).isEmpty()
-
-
 def filter_report(
     model: ReportModel,
     key: str,
     mart: DataFrame,
     wide_df: DataFrame | None,
     filters: Mapping[str, object],
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Keeps the groups that pass the filters.
 
     A filter on the report's own dimension compares its value. Any other declared
-    filter keeps the groups that occur together with the value in the wide table;
-    their figures stay those of the whole group. An unknown value is ignored, an
-    unknown dimension is an error.
+    filter keeps the groups that occur together with the value, by the stored pairs or
+    else the wide table; their figures stay those of the whole group. A value that is no
+    option of the whole report is ignored, an unknown dimension is an error.
+
+    Whether a value is an option is decided within the plan, by subqueries, so nothing
+    runs while the answer is built.
     """
     report = model.report(key)
     known = filter_names(model, key)
-    group = model.dimension(report.dimension)
+    group = F.col(f"`{report.dimension}`")
+    whole = mart
     for name, value in filters.items():
         if name not in known:
             raise SpecError(f"report {key} cannot be filtered by {name}; it has {known}")
-        if name in report.filters:
-            if wide_df is None:
-                raise SpecError(f"report {key}: filter {name} needs the wide table")
-            column = model.dimension(name).column
-            if not is_option(wide_df, column, value):
-                continue
-            hits = wide_df.where(F.col(column) == typed_literal(wide_df, column, value))
-            members = hits.select(dimension_column(group).alias("__member")).distinct()
-            condition = F.col(f"`{group.name}`") == F.col("__member")
-            mart = mart.join(members, condition, "left_semi")
-        elif is_option(mart, name, value):
-            mart = mart.where(F.col(f"`{name}`") == typed_literal(mart, name, value))
+        if name not in report.filters:
+            hits = with_value(whole, name, value)
+            literal = F.lit(value if value is None else str(value))
+            fits = F.col(f"`{name}`") == literal.try_cast(whole.schema[name].dataType)
+        else:
+            if members is None:
+                if wide_df is None:
+                    raise _needs_pairs(key, name)
+                members = membership(model, key, wide_df)
+            hits = with_value(rows_of(members, name), name, value)
+            fits = group.isin(hits.select(MEMBER))
+        mart = mart.where(fits | ~hits.exists())
     return mart
 
 
@@ -112,15 +139,17 @@ def query_report(
     wide_df: DataFrame | None = None,
     filters: Mapping[str, object] | None = None,
     limit: int | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of a report: newest period first, then by the second column.
 
-    With a limit, one page of it: the first rows, between 1 and LARGEST_LIMIT. A page has
+    Filters by dimensions that the report does not show need its stored pairs (members, see
+    membership) or the wide table. With a limit, one page of it: the first rows, between 1 and LARGEST_LIMIT. A page has
     a total order, by all further columns as well, so equal queries give equal pages.
     """
     report = model.report(key)
     mart = mart.select(*[f"`{c}`" for c in visible_columns(model, key)])
-    rows = filter_report(model, key, mart, wide_df, filters or {})
+    rows = filter_report(model, key, mart, wide_df, filters or {}, members)
     order, rest = [], rows.columns
     if model.time_dimension(report) is not None:
         time = report.time_dim or report.dimension

@@ -17,6 +17,7 @@ from reportloom.functions.scalars import percent, ten_thousands
 from reportloom.operators import cleaning, compare, contracts, governance, inclusion, periods
 from reportloom.operators import problems, profiling, recon, report_query, staging, wide as wide_ops
 from reportloom.operators.marts import build_mart, build_stack
+from reportloom.operators.membership import STORED, membership
 from reportloom.operators.report_query import json_safe, query_report
 from reportloom.plans import batch
 from reportloom.plans.feeds import EVENT_FEED, LINE_FEED, event_feed, line_feed
@@ -546,6 +547,20 @@ def filter_options(spark, sf_dir):
     return report_query.filter_options(SALES, "region_month", mart, df)
 
 
+@query
+def filter_stored_pairs(spark, sf_dir):
+    """A report and the pairs of its groups and filter values, stored, and answered by two
+    filters that the report does not show; the wide table is read only to store them."""
+    df = wide_table(spark, sf_dir)
+    layers = Layers(spark, shared_folder(spark, "pairs"))
+    mart = layers.replace(build_mart(SALES, "region_month", df), "marts", "region_month")
+    pairs = layers.replace(
+        membership(SALES, "region_month", df), "marts", STORED.format("region_month")
+    )
+    filters = {"nation": "NATION_3", "segment": "BUILDING"}
+    return json_safe(query_report(SALES, "region_month", mart, filters=filters, members=pairs))
+
+
 @query
 def all_options(spark, sf_dir):
     """Options of three reports merged."""

@@ -610,6 +610,9 @@ ORACLES: dict[str, str] = {
     "filter_period": f"WITH {REGION_MONTH} SELECT * FROM report WHERE month = '1998-03-01'",
     "filter_group_membership": f"""WITH {REGION_MONTH} SELECT * FROM report
       WHERE region IN (SELECT region FROM wide WHERE nation = 'NATION_3')""",
+    "filter_stored_pairs": f"""WITH {REGION_MONTH} SELECT * FROM report
+      WHERE region IN (SELECT region FROM wide WHERE nation = 'NATION_3')
+        AND region IN (SELECT region FROM wide WHERE segment = 'BUILDING')""",
     "filter_bad_value": f"WITH {REGION_MONTH} SELECT * FROM report",
     "filter_options": options(("region", "month", "segment", "nation")),
     "all_options": options(("region", "month", "segment", "nation")),

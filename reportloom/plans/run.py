@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as
 from reportloom.operators import cleaning, contracts, problems, recon
 from reportloom.operators.contracts import LEDGER
 from reportloom.operators.marts import build_mart, build_states
+from reportloom.operators.membership import STORED, membership
 from reportloom.operators.staging import stage, staging_tests
 from reportloom.operators.wide import match_results, widen
 from reportloom.sources.csv import ReadFailed, read_feed, whole_rows
@@ -236,6 +237,9 @@ def build_reports(
                 }
             for name, state in build_states(model, key, below, states, as_of).items():
                 layers.replace(state, "marts", f"{key}.{name}")
+            if report.filters:
+                pairs = membership(model, key, wide_df)
+                layers.replace(pairs, "marts", STORED.format(key))
             mart = layers.replace(build_mart(model, key, below, as_of, states), "marts", key)
         except Exception as failure:  # noqa: BLE001 - recorded, and the run turns red
             halted.add(key)

@@ -8,6 +8,7 @@ import os
 import pytest
 
 from reportloom.operators import compare, governance
+from reportloom.operators.membership import STORED
 from reportloom.operators.report_query import query_report
 from reportloom.plans.run import run
 from reportloom.sources.layers import Layers, catalogue, export_report
@@ -114,6 +115,9 @@ def test_group_filter_keeps_whole_group_figures(done):
     kept = query_report(retail.MODEL, "region_month", mart, wide, {"城市": "杭州"})
     whole = mart.where("`大区` = '华东'").select(*kept.columns)
     assert compare.same_rows(kept, whole) and kept.count() == 2
+    pairs = layers.read("marts", STORED.format("region_month"))
+    stored = query_report(retail.MODEL, "region_month", mart, filters={"城市": "杭州"}, members=pairs)
+    assert compare.same_rows(kept, stored)
 
 
 def test_catalogue_and_export(done, spark, tmp_path):
