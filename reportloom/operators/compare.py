@@ -10,6 +10,8 @@ from reportloom.functions.scalars import null_safe_all
 
 MONEY_TOLERANCE = 0.01
 RATIO_TOLERANCE = 1e-6
+# Buckets of a pruned comparison: a table of this many rows is broadcast at most.
+BUCKETS = 1 << 16
 ROUNDING_SLACK = 1e-9
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -141,5 +143,45 @@ def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def _digests(df: DataFrame, names: list[str], buckets: int, prefix: str) -> DataFrame:
+    """Rows and order-free digests per bucket of rows: sums of the halves of two hashes.
+    A hash skips NULLs, so it also takes which columns are NULL."""
+    columns = [F.col(f"`{n}`") for n in names]
+    columns += [c.isNull() for c in columns]
+    hashes = [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+    halves = [h for x in hashes for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(0xFFFFFFFF))]
+    return df.groupBy(F.pmod(F.xxhash64(*columns), F.lit(buckets)).alias("__bucket")).agg(
+        F.struct(F.count(F.lit(1)), *[F.sum(h) for h in halves]).alias(prefix)
+    )
+
+
+def pruned(
+    left: DataFrame, right: DataFrame, buckets: int = BUCKETS
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the rows of buckets whose digests agree.
+
+    Rows are put into buckets by their hash. Only a count and digests per bucket are
+    shuffled; where they agree on both sides, the rows are taken as equal (two different
+    sets agree with a chance of about 2^-128). So tables that are equal but for a few rows
+    are compared by those rows' buckets. The list of other buckets is broadcast: it has
+    `buckets` rows at most. Each table is read twice.
+    """
+    names = left.columns
+    both = _digests(left, names, buckets, "__of_left").join(
+        _digests(right, names, buckets, "__of_right"), "__bucket", "full"
+    )
+    unequal = both.where(~F.col("__of_left").eqNullSafe(F.col("__of_right"))).select("__bucket")
+
+    def kept(df: DataFrame) -> DataFrame:
+        columns = [F.col(f"`{n}`") for n in names]
+        own = F.pmod(F.xxhash64(*columns, *[c.isNull() for c in columns]), F.lit(buckets))
+        rows = df.select(*columns, own.alias("__bucket"))
+        return rows.join(F.broadcast(unequal), "__bucket", "left_semi").drop("__bucket")
+
+    return kept(left), kept(right)
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two tables have the same rows equally often; large tables can be pruned
+    before."""
     return multiset_diff(left, right).limit(1).isEmpty()

@@ -867,3 +867,15 @@ def diff_multiset(spark, sf_dir):
     """Line keys that occur more than once, found by comparing with distinct keys."""
     keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return compare.multiset_diff(keys, keys.distinct())
+
+
+@query
+def diff_pruned(spark, sf_dir):
+    """Lines against a copy with another quantity in every order that ends with 777, by
+    the buckets of rows that differ."""
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select(*names)
+    changed = F.col("l_orderkey") % 1000 == 777
+    quantity = F.when(changed, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    copy = lines.withColumn("l_quantity", quantity.cast(lines.schema["l_quantity"].dataType))
+    return compare.multiset_diff(*compare.pruned(lines, copy))

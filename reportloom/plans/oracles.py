@@ -721,4 +721,14 @@ ORACLES: dict[str, str] = {
     "diff_multiset": """
       SELECT l_orderkey, l_linenumber, count(*) AS left_rows, CAST(1 AS BIGINT) AS right_rows
       FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+    "diff_pruned": """
+      WITH b AS (
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, 1 AS l, 0 AS r FROM lineitem
+        UNION ALL
+        SELECT l_orderkey, l_linenumber, l_partkey,
+          CASE WHEN l_orderkey % 1000 = 777 THEN l_quantity + 1 ELSE l_quantity END, 0, 1
+        FROM lineitem)
+      SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+        CAST(sum(l) AS BIGINT) AS left_rows, CAST(sum(r) AS BIGINT) AS right_rows
+      FROM b GROUP BY 1, 2, 3, 4 HAVING sum(l) <> sum(r)""",
 }

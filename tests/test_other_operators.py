@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from reportloom.operators import compare, governance, periods, profiling
@@ -117,6 +118,23 @@ def test_multisets(spark):
     assert compare.same_rows(a, a.select("*")) and not compare.same_rows(a, b)
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_pruned_comparison(spark, buckets):
+    # NULLs in different places, repeated rows, rows on one side only.
+    a = [(1, None), (None, 1), (2, 2), (2, 2), (3, 3), (None, None)] + [(i, i) for i in range(10, 200)]
+    b = [(None, 1), (None, 1), (2, 2), (3, 3), (None, None), (4, 4)] + [(i, i) for i in range(10, 200)]
+    left, right = (spark.createDataFrame(x, "x int, y int") for x in (a, b))
+    few = compare.pruned(left, right, buckets)
+    assert rows(compare.multiset_diff(*few)) == rows(compare.multiset_diff(left, right))
+    if buckets > 7:
+        assert few[0].count() < 10
+    same = compare.pruned(left, left.repartition(3), buckets)
+    assert same[0].count() == same[1].count() == 0
+    none = left.where("false")
+    assert compare.pruned(none, none, buckets)[0].count() == 0
+    assert compare.pruned(left, none, buckets)[0].count() == len(a)
+
+
 def test_latest_and_previous(spark):
     df = spark.createDataFrame([(3, 30.0, 0.3), (1, 10.0, 0.5), (2, 0.0, 0.1)], "t int, v double, r double")
     cards = {c["metric"]: c for c in periods.latest_and_previous(df, "t", {"v": False, "r": True}).collect()}
