@@ -118,6 +118,28 @@ def csv_ingest(spark, sf_dir):
     )
 
 
+@query
+def csv_quoted_breaks(spark, sf_dir):
+    """Documents dropped as CSV text whose cells hold line ends and quotes, read back."""
+    inbox = shared_folder(spark, "inbox")
+    table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.lit('"'), F.coalesce("source", F.lit("")), F.lit('",\n'), F.coalesce("text", F.lit(""))).alias("note"),
+        "lang",
+    ).write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(inbox)
+    facts = examine(spark, inbox)
+    feed = whole_rows(scan_text_table(spark, inbox, "UTF-8", facts.open_quotes))
+    return feed.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "lang",
+        F.length("note").cast("bigint").alias("chars"),
+        (F.size(F.split("note", "\n")).cast("bigint") - 1).alias("line_ends"),
+        F.md5("note").alias("digest"),
+    )
+
+
 @query
 def skip_first_rows(spark, sf_dir):
     """A table without its first hundred rows."""

@@ -409,6 +409,12 @@ ORACLES: dict[str, str] = {
                 "ELSE 0 END)")} AS amount,
         {day('min(o_orderdate)')} AS first_day, {day('max(o_orderdate)')} AS last_day
       FROM orders GROUP BY 1, 2""",
+    "csv_quoted_breaks": """
+      SELECT doc_id, NULLIF(lang, '') AS lang, length(note) AS chars,
+        length(note) - length(replace(note, chr(10), '')) AS line_ends, md5(note) AS digest
+      FROM (SELECT doc_id, lang,
+        concat('"', coalesce(source, ''), '",', chr(10), coalesce(text, '')) AS note
+        FROM documents)""",
     "skip_first_rows": """
       SELECT count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
       FROM (SELECT o_orderkey FROM orders OFFSET 100)""",

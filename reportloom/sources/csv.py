@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from reportloom.sources import records
+
 BOM = "\ufeff"
 # Names of encodings as declared, and as the reader knows them.
 CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "utf-8-sig": "UTF-8", "gbk": "GBK"}
@@ -42,7 +44,7 @@ def examine(spark: SparkSession, path: Paths) -> TextFacts:
     quoted cell run over a line end."""
     lines = spark.read.text(path)
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     row = lines.agg(
         F.count(F.lit(1)).alias("lines"),
         F.coalesce(F.bool_and(F.is_valid_utf8(value)), F.lit(True)).alias("valid"),
@@ -122,8 +124,8 @@ def read_feed(
     """The file of a feed, with the encoding and the line handling it needs; further files
     are read together with it if they have the same header.
 
-    Quoted line breaks make a file unsplittable, so they are only allowed for in
-    files that have them.
+    Quoted line breaks cost further passes, so they are only allowed for in files that
+    have them.
     """
     if not all(p.lower().endswith(".csv") for p in (path, *further)):
         raise ReadFailed("only CSV files are read")
