@@ -83,7 +83,8 @@ def scan_text_table(
     """A CSV file, folder or list of files with a header as text columns plus provenance columns.
 
     `_overflow` holds the first cell beyond the header, so that a row that is too
-    long is noticed instead of being cut.
+    long is noticed instead of being cut. With `multi_line`, quoted cells may run over
+    line ends; such files are still read by many tasks unless they have stray quotes.
     """
     reader = (
         spark.read.option("header", True)
@@ -91,13 +92,18 @@ def scan_text_table(
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
-    headers = reader.csv(path).columns
-    text = StructType([StructField(c, StringType()) for c in (*headers, OVERFLOW)])
-    df = reader.schema(text).csv(path)
-    cells = [F.nullif(df[f"`{c}`"], F.lit("")).alias(c) for c in df.columns]
+    columns = [*reader.csv(path).columns, OVERFLOW]
+    if multi_line and records.splittable(spark, path, encoding, columns):
+        df = records.scan_records(spark, path, encoding, columns)
+        file_name = F.col("__name")
+    else:
+        text = StructType([StructField(c, StringType()) for c in columns])
+        df = reader.schema(text).csv(path)
+        file_name = F.col("_metadata.file_name")
+    cells = [F.nullif(df[f"`{c}`"], F.lit("")).alias(c) for c in columns]
     return df.select(
         *cells,
-        F.col("_metadata.file_name").alias("_source_file"),
+        file_name.alias("_source_file"),
         F.current_timestamp().alias("_loaded_at"),
     )
 

@@ -14,8 +14,7 @@ where the two disagree; they have to be read in one piece.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # A record beyond this size is no row of a feed but the work of a stray quote.
 RECORD_BYTES = 64 << 20
@@ -45,8 +44,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str) ->
 def record_lines(lines: DataFrame) -> DataFrame:
     """The lines with the record that each belongs to: its number within the file (from
     1), whether the line is `whole` (a record of its own), whether the record is the
-    `header` (the first that is not empty), and `unclosed` (the file ends within quotes).
-    """
+    `header` (the first that is not empty), `unclosed` (the file ends within quotes) and
+    `returns` (the file's first line ends with a carriage return, so all are taken to)."""
     ordered = Window.partitionBy("file", "block").orderBy("at")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
@@ -62,12 +61,15 @@ def record_lines(lines: DataFrame) -> DataFrame:
         F.max("outside").alias("outsides"),
         F.max("inside").alias("insides"),
         F.min(F.when(text, F.col("outside"))).alias("first_text"),
+        F.min_by(F.endswith("line", F.lit(RETURN)), "at").alias("returning"),
     )
     # One row per block of a file, so even a very large file is a short list here.
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    whole_file = Window.partitionBy("file")
+    whole_file = Window.partitionBy("file").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     started = F.when(F.col("open") == 0, F.col("outsides")).otherwise(F.col("insides"))
     known = (
         blocks.withColumn("open", F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2)
@@ -79,6 +81,7 @@ def record_lines(lines: DataFrame) -> DataFrame:
             "offset",
             F.min(F.col("offset") + F.col("first_text")).over(whole_file).alias("first_record"),
             (F.sum("odds").over(whole_file) % 2 == 1).alias("unclosed"),
+            F.first("returning").over(whole_file).alias("returns"),
         )
     )
     begins = F.col("turned") == F.col("open")
@@ -96,36 +99,51 @@ def record_lines(lines: DataFrame) -> DataFrame:
             (begins & (F.col("odd") == 0)).alias("whole"),
             (F.col("record") == F.col("first_record")).alias("header"),
             "unclosed",
+            "returns",
         )
     )
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Text of each record, its line ends included: name, header, record."""
+    """Text of each record, its line ends included: name, header, record. In files whose
+    lines end with carriage returns, line ends become plain ones."""
     joined = (
         lines.where(~F.col("whole"))
-        .groupBy("file", "name", "record", "header")
+        .groupBy("file", "name", "record", "header", "returns")
         .agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("parts"))
-        .select("name", "header", F.array_join("parts.line", "\n").alias("record"))
+        .select("name", "header", "returns", F.array_join("parts.line", "\n").alias("record"))
+    )
+    alone = lines.where("whole").select("name", "header", "returns", F.col("line").alias("record"))
+    plain = F.regexp_replace("record", r"\r(\n|\z)", "$1")
+    return (
+        alone.unionByName(joined)
+        .select("name", "header", F.when(F.col("returns"), plain).otherwise(F.col("record")).alias("record"))
+        .where(F.col("record") != "")
     )
-    alone = lines.where("whole").select("name", "header", F.col("line").alias("record"))
-    text = alone.unionByName(joined).withColumn("record", F.regexp_replace("record", r"\r\z", ""))
-    return text.where(F.col("record") != "")
 
 
 def parsed(found: DataFrame, columns: list[str]) -> DataFrame:
-    """The records as cells of text: name, header, record, cells."""
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    options = {"escape": '"', "multiLine": "true", "lineSep": "\n"}
-    return found.withColumn("cells", F.from_csv("record", schema.simpleString(), options))
+    """The records as cells of text, named by place: name, header, record, cells. A line
+    end is a plain character here, also outside quotes."""
+    # Headers may hold any character, so their names stay out of the schema's text.
+    schema = ", ".join(f"{cell} string" for cell in cell_names(columns))
+    return found.withColumn("cells", F.from_csv("record", schema, {"escape": '"'}))
+
+
+def cell_names(columns: list[str]) -> list[str]:
+    return [f"c{i}" for i in range(len(columns))]
 
 
 def splittable(
     spark: SparkSession, path: str | list[str], encoding: str, columns: list[str]
 ) -> bool:
     """Whether counting quotes finds the records that the parser finds: quotes are closed,
-    no record is too large, and every line end within a record lies in one of its cells."""
-    lines = record_lines(numbered_lines(spark, path, encoding))
+    no record is too large, and every line end within a record lies in one of its cells.
+    Files that have carriage returns within their lines, or as line ends, are refused."""
+    numbered = numbered_lines(spark, path, encoding)
+    if not numbered.where(F.col("line").rlike(r"\r.")).limit(1).isEmpty():
+        return False
+    lines = record_lines(numbered)
     sizes = (
         lines.where(~F.col("whole"))
         .groupBy("file", "record")
@@ -137,13 +155,25 @@ def splittable(
     if not sizes.where((F.col("bytes") > RECORD_BYTES) | F.col("unclosed")).limit(1).isEmpty():
         return False
 
-    def breaks(text):
-        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-
+    # Each cell with line ends is taken out of the record as it is written within quotes.
+    # What is left has a line end only if one lies outside quotes.
     several = parsed(records(lines.where(~F.col("whole"))), columns)
-    cells = F.array(*[F.coalesce(F.col("cells")[c], F.lit("")) for c in columns])
-    held = F.aggregate(cells, F.lit(0), lambda total, cell: total + breaks(cell))
-    return several.where(breaks(F.col("record")) != held).limit(1).isEmpty()
+    cells = F.filter(
+        F.array(*[F.col("cells")[c] for c in cell_names(columns)]),
+        lambda cell: F.contains(cell, F.lit("\n")),
+    )
+    rest = F.aggregate(
+        cells,
+        F.concat(F.lit(","), "record"),
+        lambda text, cell: F.replace(text, quoted(cell), F.lit("")),
+    )
+    return several.where(F.contains(rest, F.lit("\n"))).limit(1).isEmpty()
+
+
+def quoted(cell: Column) -> Column:
+    """A cell as it stands in its record, with the separator before it."""
+    inner = F.replace(cell, F.lit('"'), F.lit('""'))
+    return F.concat(F.lit(',"'), inner, F.lit('"'))
 
 
 def scan_records(
@@ -153,5 +183,6 @@ def scan_records(
     found = records(record_lines(numbered_lines(spark, path, encoding)))
     cells = parsed(found.where(~F.col("header")), columns)
     return cells.select(
-        *[F.col("cells")[c].alias(c) for c in columns], F.col("name").alias("__name")
+        *[F.col("cells")[c].alias(n) for c, n in zip(cell_names(columns), columns)],
+        F.col("name").alias("__name"),
     )

@@ -37,6 +37,10 @@ def written(path, table, ending="\n", encoding="utf-8"):
     return str(path)
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def one_piece(spark, path, encoding="UTF-8"):
     """All rows as the reader gives them that takes a file in one task."""
     reader = spark.read.option("header", True).option("escape", '"').option("encoding", encoding)
@@ -54,6 +58,7 @@ def test_random_files_equal_the_reader_of_whole_files(spark, tmp_path, small_blo
     path = written(tmp_path / "feed.csv", table, ending, encoding)
     assert records.splittable(spark, path, charset(encoding), table[0])
     feed = read_feed(spark, path, os.path.getsize(path), (encoding,))
+    assert "FileScan text" in plan_of(feed)
     assert feed.columns == ["key", "note", "rest", "_overflow", "_source_file", "_loaded_at"]
     expected = sorted((tuple(c or None for c in row) for row in table[1:]), key=repr)
     assert rows(feed, "key", "note", "rest") == expected
@@ -68,7 +73,9 @@ def test_many_tasks_read_one_file(spark, tmp_path, small_blocks):
     path = written(tmp_path / "feed.csv", table)
     assert records.splittable(spark, path, "UTF-8", ["key", "note"])
     assert records.numbered_lines(spark, path, "UTF-8").rdd.getNumPartitions() > 10
-    assert scan_text_table(spark, path, "UTF-8", True).count() == 200
+    feed = scan_text_table(spark, path, "UTF-8", True)
+    assert feed.count() == 200
+    assert "FileScan text" in plan_of(feed) and "FileScan csv" not in plan_of(feed)
 
 
 def test_header_with_breaks_blank_lines_and_long_rows(spark, tmp_path, small_blocks):
@@ -86,6 +93,7 @@ def test_several_files_keep_their_own_headers_and_names(spark, tmp_path, small_b
         for i in range(3)
     ]
     feed = scan_text_table(spark, paths, "UTF-8", True)
+    assert "FileScan text" in plan_of(feed)
     counts = rows(feed.groupBy("_source_file").count())
     assert counts == [(f"part{i}.csv", 60) for i in range(3)]
     assert feed.where("key = 'key' or note != 'x\\ny'").isEmpty()
@@ -104,9 +112,26 @@ def test_stray_quotes_are_read_in_one_piece(spark, tmp_path, body):
     path.write_text("key,note\n" + body)
     assert not records.splittable(spark, str(path), "UTF-8", ["key", "note"])
     feed = scan_text_table(spark, str(path), "UTF-8", True)
+    assert "FileScan csv" in plan_of(feed)
     assert rows(feed, "key", "note") == one_piece(spark, str(path))
 
 
+def test_line_ends_within_cells_are_those_of_the_other_reader(spark, tmp_path, small_blocks):
+    for number, end in enumerate([b"\r\n", b"\n"]):
+        path = tmp_path / f"feed{number}.csv"
+        lines = [b"key,note", b'1,"a\r\nb"', b'2,"a\nb"', b"3,c", b'4,"d\r\n"']
+        path.write_bytes(end.join(lines))
+        feed = scan_text_table(spark, str(path), "UTF-8", True)
+        assert "FileScan text" in plan_of(feed)
+        assert rows(feed, "key", "note") == one_piece(spark, str(path))
+
+
+def test_carriage_returns_alone_are_left_to_the_reader_of_whole_files(spark, tmp_path):
+    path = tmp_path / "feed.csv"
+    path.write_bytes(b'key,note\r1,"a\rb"\r2,c\r')
+    assert not records.splittable(spark, str(path), "UTF-8", ["key", "note"])
+
+
 def test_a_file_of_a_header_alone(spark, tmp_path):
     path = tmp_path / "feed.csv"
     path.write_text('"ke\ny",note\n')
