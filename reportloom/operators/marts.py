@@ -122,7 +122,10 @@ def first_state(
     model: ReportModel, key: str, metric: Metric, below: DataFrame, as_of: dt.date | None = None
 ) -> DataFrame:
     """What the lowest layer hands on of a distinct count: its dimensions, and per group
-    the different keys, or bitmaps of them by bucket, or one sketch."""
+    the different keys, or bitmaps of them by bucket, or one sketch.
+
+    A bitmap is one number of 64 bits, so a group with few keys is no larger than they
+    are, and bitmaps are merged without sorting."""
     below, groups = _groups(model, key, below, as_of)
     what = metric.distinct
     rows = below.select(*groups, what.key.alias("__key")).where(F.col("__key").isNotNull())
@@ -131,8 +134,10 @@ def first_state(
         return rows.distinct()
     if what.state == "sketch":
         return rows.groupBy(*dims).agg(F.hll_sketch_agg("__key").alias("__state"))
-    return rows.groupBy(*dims, F.bitmap_bucket_number("__key").alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("__key")).alias("__state")
+    number = F.col("__key").cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(63).cast("int"))
+    return rows.groupBy(*dims, F.shiftright(number, 6).alias("__bucket")).agg(
+        F.bit_or(bit).alias("__state")
     )
 
 
@@ -144,14 +149,14 @@ def merged_state(model: ReportModel, key: str, metric: Metric, state: DataFrame)
         return state.select(*dims, "__key").distinct()
     if kind == "sketch":
         return state.groupBy(*dims).agg(F.hll_union_agg("__state").alias("__state"))
-    return state.groupBy(*dims, "__bucket").agg(F.bitmap_or_agg("__state").alias("__state"))
+    return state.groupBy(*dims, "__bucket").agg(F.bit_or("__state").alias("__state"))
 
 
 def count_state(state: DataFrame, dims: list[str], metric: Metric) -> DataFrame:
     """The dimensions and the distinct count of each group that has a key."""
     count = {
         "keys": lambda: F.count(F.lit(1)),
-        "bitmap": lambda: F.sum(F.bitmap_count("__state")),
+        "bitmap": lambda: F.sum(F.bit_count("__state")),
         "sketch": lambda: F.sum(F.hll_sketch_estimate("__state")),
     }[metric.distinct.state]()
     return state.groupBy(*[F.col(f"`{d}`") for d in dims]).agg(count.alias(metric.name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from reportloom.functions import metrics as m
-from reportloom.operators.marts import build_mart, build_stack
+from reportloom.operators.marts import build_mart, build_stack, build_states
 from reportloom.plans.catalog import QUERIES
 from reportloom.plans.run import RunRecord, build_reports
 from reportloom.plans.trade import ORDER_LADDER, wide_table
@@ -120,6 +120,20 @@ def test_null_groups_null_keys_and_far_keys_in_layers(spark, state):
     assert empty.count() == 0
 
 
+def test_bitmaps_of_small_groups_stay_small(spark):
+    df = spark.range(1000).select(
+        F.col("id").cast("string").alias("d"), F.lit("e").alias("e"), (F.col("id") * 3 - 500).alias("k"), F.lit("y").alias("x")
+    )
+    model = small_model("bitmap")
+    keys = next(n for n in model.handed_on("fine"))
+    state = build_states(model, "fine", df, {})[keys]
+    assert dict(state.dtypes)["__state"] == "bigint"
+    assert state.count() == 1000
+    built = build_stack(model, "coarse", df)
+    assert "SortAggregate" not in built._jdf.queryExecution().toString()
+    assert rows(built, "e", "keys") == [("e", 1000)]
+
+
 def test_two_level_counts_equal_the_direct_ones(spark):
     df = spark.createDataFrame(FACTS, "d string, e string, k bigint, x string")
     mart = build_mart(small_model(), "wide", df)
