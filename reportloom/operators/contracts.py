@@ -205,12 +205,20 @@ def rule_counts(fields: tuple[Field, ...]) -> list[tuple[Rule, Column]]:
 def accept(df: DataFrame, source: Source) -> DataFrame:
     """The feed after its contract: rows with an empty required field are dropped,
     values typed, and missing or unparsable values filled where a default exists."""
-    kept = df
-    for f in source.fields:
-        if f.required:
-            kept = kept.where(F.col(f.name).isNotNull())
     extra = [c for c in df.columns if c not in {f.name for f in source.fields}]
-    return kept.select(*[with_default(f, typed(f)).alias(f.name) for f in source.fields], *extra)
+    values = {f.name: with_default(f, typed(f)).alias(f.name) for f in source.fields}
+    required = [f.name for f in source.fields if f.required]
+    if not required:
+        return df.select(*values.values(), *extra)
+    # Required cells are cleaned and parsed in one place; as plain columns they would be
+    # worked out again in every filter on them.
+    present = reduce(Column.__and__, [F.col(n).isNotNull() for n in required])
+    row = F.struct(present.alias("__present"), *[values[n] for n in required])
+    others = [f.name for f in source.fields if not f.required]
+    kept = df.select(*others, *extra, F.inline(F.array(row))).where("__present")
+    return kept.select(
+        *[f.name if f.required else values[f.name] for f in source.fields], *extra
+    )
 
 
 def with_default(field: Field, value: Column) -> Column:

@@ -71,3 +71,10 @@ def test_large_dimensions_are_joined_among_themselves_first(spark, sf_dir):
     # Only one of the four joins has the fact as its left side.
     assert sum("order_key" in line for line in plan.splitlines() if "SortMergeJoin" in line) == 1
     assert rows == sorted(map(tuple, QUERIES["wide_left"](spark, sf_dir).collect()))
+
+
+def test_required_cells_are_worked_out_once(spark, sf_dir):
+    plan = plan_of(QUERIES["typed_staging"](spark, sf_dir))
+    optimized = plan[plan.index("== Optimized") : plan.index("== Physical")]
+    # The slashed days of the feed; the other two are those of the report.
+    assert optimized.count("yyyy/M/d, Some(UTC))") == 1
