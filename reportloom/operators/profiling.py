@@ -63,11 +63,11 @@ def profile(df: DataFrame) -> DataFrame:
         F.min(number).alias("low"),
         F.max(number).alias("high"),
     )
-    # n is part of the order only to keep both branches on the same shuffle.
-    first = Window.partitionBy("column_name").orderBy("value", "n")
+    # n is part of the order, and NULL goes last instead of being filtered, only to keep
+    # both branches on the same shuffle. Lists leave NULL out.
+    first = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value"), "n")
     firsts = (
-        freq.where(present)
-        .withColumn("place", F.row_number().over(first))
+        freq.withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= ENUM_LIMIT)
         .groupBy("column_name")
         .agg(F.array_sort(F.collect_list("value")).alias("firsts"))

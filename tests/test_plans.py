@@ -78,3 +78,9 @@ def test_required_cells_are_worked_out_once(spark, sf_dir):
     optimized = plan[plan.index("== Optimized") : plan.index("== Physical")]
     # The slashed days of the feed; the other two are those of the report.
     assert optimized.count("yyyy/M/d, Some(UTC))") == 1
+
+
+def test_a_profile_counts_its_table_once(spark, sf_dir):
+    df = QUERIES["infer_types"](spark, sf_dir)
+    df.collect()
+    assert formatted(df).split("Initial Plan")[0].count("ReusedExchange") >= 1
