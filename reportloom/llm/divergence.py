@@ -168,15 +168,24 @@ class _Rows:
 def accumulated(postings: DataFrame, headers: DataFrame) -> DataFrame:
     """lang, peer, sums: accumulators by bucket, without the baseline.
 
-    postings: lang, rows, bucket, term, peer, share; headers: lang, rows, bucket and empty,
-    the shares that the peers give a term they lack, in their order. Stretches of postings
-    are cut between terms, so memory depends on the number of peers only.
+    postings: lang, rows, bucket, part, term, peer, share; headers: lang, rows, bucket, part
+    (their number) and empty, the shares that the peers give a term they lack, in their
+    order. Stretches of postings are cut between terms, so memory depends on the number of
+    peers only.
+
+    Rows of a task are sorted by one number, that of their part above a hash of their term,
+    which settles nearly all comparisons. A header has no hash and comes first in its part.
     """
     keys = ["lang", "rows", "bucket"]
     both = headers.select(
         *keys, F.lit(None).cast("string").alias("term"), F.lit(-1).alias("peer"),
-        F.lit(0).cast("long").alias("share"), "empty",
-    ).unionByName(postings.select(*keys, "term", "peer", "share", F.lit(None).cast("array<bigint>").alias("empty")))
+        F.lit(0).cast("long").alias("share"), "empty", F.shiftleft("part", 32).alias("place"),
+    ).unionByName(
+        postings.select(
+            *keys, "term", "peer", "share", F.lit(None).cast("array<bigint>").alias("empty"),
+            F.shiftleft("part", 32).bitwiseOR(1 + F.pmod(F.xxhash64("term"), F.lit((1 << 32) - 1))).alias("place"),
+        )
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, lang, held, n_held = None, None, [], 0
@@ -233,7 +242,8 @@ def accumulated(postings: DataFrame, headers: DataFrame) -> DataFrame:
     n = headers.select(F.count(F.lit(1))).first()[0]
     return (
         both.repartition(max(1, n), *keys)
-        .sortWithinPartitions(*keys, F.asc_nulls_first("term"))
+        .sortWithinPartitions("place", "term")
+        .drop("place")
         .mapInArrow(run, "lang string, peer int, sums array<bigint>")
     )
 
@@ -287,18 +297,25 @@ def pairs(shares: DataFrame, sources: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("peer", "empty"))), lambda s: s["empty"]
         ).alias("empty"),
     ).withColumn("buckets", F.greatest(F.lit(1), F.col("buckets")).cast("int"))
-    block = F.sequence(F.lit(0), F.floor((F.col("peers") - 1) / ROWS).cast("int"))
+    n_blocks = F.floor((F.col("peers") - 1) / ROWS).cast("long") + 1
+    # Languages are few; each takes as many numbers as it has blocks of rows and buckets.
+    earlier = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    langs = langs.withColumn(
+        "first_part", F.coalesce(F.sum(n_blocks * F.col("buckets")).over(earlier), F.lit(0))
+    )
+    block = F.sequence(F.lit(0), (n_blocks - 1).cast("int"))
+    part = F.col("first_part") + F.col("rows").cast("long") * F.col("buckets") + F.col("bucket")
     headers = (
         langs.where("peers > 1")
         .withColumn("rows", F.explode(block))
         .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-        .select("lang", "rows", "bucket", "empty")
+        .select("lang", "rows", "bucket", part.alias("part"), "empty")
     )
     postings = (
-        shares.join(langs.where("peers > 1").select("lang", "peers", "buckets"), "lang")
+        shares.join(langs.where("peers > 1").select("lang", "peers", "buckets", "first_part"), "lang")
         .withColumn("rows", F.explode(block))
         .withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int"))
-        .select("lang", "rows", "bucket", "term", "peer", "share")
+        .select("lang", "rows", "bucket", part.alias("part"), "term", "peer", "share")
     )
     summed = (
         accumulated(postings, headers)
