@@ -59,22 +59,25 @@ def folded(tables: Mapping[str, DataFrame], wide: Wide) -> list[tuple[Join, Data
 
     A left join whose key comes from an earlier left join is done within that dimension
     beforehand, if that dimension is too large to broadcast. The rows are the same, but the
-    fact is not shuffled by the later key, which is often an uneven one. Dimensions that are
-    broadcast stay a chain, in which the fact is not shuffled at all.
+    fact is not shuffled by the later key, which is often an uneven one. A salted join stays
+    salted there. Dimensions that are broadcast stay a chain, in which the fact is not
+    shuffled at all.
     """
     joins = list(wide.joins)
     frames = [tables[j.table].select(*dict.fromkeys((j.right, *j.columns))) for j in joins]
     for at in reversed(range(len(joins))):
         join = joins[at]
         owner = next((i for i in range(at) if join.left in joins[i].columns), None)
-        if owner is None or join.spread != 1:
+        if owner is None:
             continue
         before = joins[owner]
         if {join.how, before.how} != {"left"} or before.right in join.columns:
             continue
         if _fits_broadcast(frames[owner]):
             continue
-        frames[owner] = attach(frames[owner], frames[at], join)
+        # The fact's columns are not there to salt by, but the owner's key is.
+        salted = replace(join, spread_by=(before.right,)) if join.spread != 1 else join
+        frames[owner] = attach(frames[owner], frames[at], salted)
         joins[owner] = replace(before, columns=(*before.columns, *join.columns))
         joins[at] = None
     return [(j, f) for j, f in zip(joins, frames) if j is not None]

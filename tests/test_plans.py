@@ -84,3 +84,21 @@ def test_a_profile_counts_its_table_once(spark, sf_dir):
     df = QUERIES["infer_types"](spark, sf_dir)
     df.collect()
     assert formatted(df).split("Initial Plan")[0].count("ReusedExchange") >= 1
+
+
+def test_salted_dimensions_are_joined_among_themselves_first(spark, sf_dir):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    expected = sorted(map(tuple, QUERIES["wide_left"](spark, sf_dir).collect()))
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        rows = sorted(map(tuple, QUERIES["wide_spread"](spark, sf_dir).collect()))
+        plan = formatted(QUERIES["wide_spread"](spark, sf_dir))
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 4 and sum("__salt" in line for line in joins) == 2
+    assert sum("order_key" in line for line in joins) == 1
+    assert rows == expected
