@@ -11,12 +11,38 @@ from __future__ import annotations
 from functools import partial
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reportloom.llm import chosen_path, credentials, decision_list, packing, pivotal
 from reportloom.llm.common import n_words, stored, table
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number in __row that every reading of them agrees on.
+
+    A stored table gets it from the places of its rows, the number of their file above
+    their place in it, so that it is not stored once more. Any other table is stored.
+    """
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            placed = docs.select(
+                "*",
+                F.col("_metadata.file_path").alias("__file"),
+                F.col("_metadata.row_index").alias("__at"),
+            )
+        except AnalysisException:
+            placed = None
+        if placed is not None:
+            # One row per file, so the window over all of them is small.
+            files = placed.select("__file").distinct()
+            number = F.row_number().over(Window.orderBy("__file")).cast("long")
+            files = files.select("__file", number.alias("__number"))
+            row = F.shiftleft("__number", 40).bitwiseOR(F.col("__at"))
+            return placed.join(F.broadcast(files), "__file").select(*docs.columns, row.alias("__row"))
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned rules keep, texts unchanged."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__whole"))
@@ -31,17 +57,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     come last. Rows are linked by their texts alone, so rows with the same number, or with
     none, stay if their texts differ.
     """
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-documents")
-    found = chosen_path.near_duplicates(numbered.select("__row", "text"), document="__row")
+    rows = numbered(docs, "near-documents")
+    found = chosen_path.near_duplicates(rows.select("__row", "text"), document="__row")
     groups = found.select("__row", "component_id")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
     kept = (
-        groups.join(numbered.select("__row", "doc_id"), "__row")
+        groups.join(rows.select("__row", "doc_id"), "__row")
         .groupBy("component_id")
         .agg(F.min(place).alias("first"))
         .select("first.__row")
     )
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +81,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    sizes = numbered.select("__row", "source", n_words(F.col("text")).alias("size"))
+    rows = numbered(docs, "mix-documents")
+    sizes = rows.select("__row", "source", n_words(F.col("text")).alias("size"))
     copies = pivotal.mix(sizes, document="__row").select("__row", "copies").where("copies > 0")
-    taken = numbered.join(copies, "__row")
+    taken = rows.join(copies, "__row")
     return taken.withColumn(
         "__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     ).select(*docs.columns)

@@ -286,3 +286,18 @@ def test_pipeline_keeps_different_texts_under_one_number(spark, odd):
     assert found == sorted(
         [(False, 0, texts[0]), (False, 1, texts[1]), (False, 4, texts[2]), (True, 0, texts[3])]
     )
+
+
+def test_stored_tables_are_numbered_in_place(spark, tmp_path):
+    folder = str(tmp_path / "docs")
+    spark.range(1000).selectExpr("id % 7 as doc_id", "'x' as text").repartition(5).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    rows = corpus_pipeline.numbered(docs, "none")
+    assert set(rows.inputFiles()) == set(docs.inputFiles())
+    seen = [sorted(map(tuple, rows.collect())), sorted(map(tuple, rows.coalesce(1).collect()))]
+    assert seen[0] == seen[1] and len({r[2] for r in seen[0]}) == 1000
+    twice = docs.withColumn("text", F.explode(F.array("text", "text")))
+    again = corpus_pipeline.numbered(twice, "twice").collect()
+    assert len({r["__row"] for r in again}) == 2000
+    made = corpus_pipeline.numbered(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"), "made")
+    assert made.select("__row").distinct().count() == 2
