@@ -23,7 +23,9 @@ RETURN = "\r"
 
 def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """The lines of files with their places: file, name, block, at, line, odd (whether the
-    line has an odd number of quotes). `at` orders the lines of a block."""
+    line has an odd number of quotes), bytes, text (whether it is not empty), returning
+    (whether it ends with a carriage return). `at` orders the lines of a block. What is known
+    of a line stands beside it, so that steps that need no more do not shuffle the text."""
     value = F.col("value")
     line = value if encoding == "UTF-8" else F.decode(value.cast("binary"), encoding)
     quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))
@@ -37,7 +39,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str) ->
             F.monotonically_increasing_id().alias("at"),
             line.alias("line"),
         )
-        .withColumn("odd", quotes % 2)
+        .withColumns(
+            {
+                "odd": quotes % 2,
+                "bytes": F.octet_length("line").cast("bigint"),
+                "text": ~F.col("line").isin("", RETURN),
+                "returning": F.endswith("line", F.lit(RETURN)),
+            }
+        )
     )
 
 
@@ -55,13 +64,12 @@ def record_lines(lines: DataFrame) -> DataFrame:
         .withColumn("outside", F.sum(1 - F.col("turned")).over(upto))
         .withColumn("inside", F.sum("turned").over(upto))
     )
-    text = ~F.col("line").isin("", RETURN)
     blocks = placed.groupBy("file", "block").agg(
         F.sum("odd").alias("odds"),
         F.max("outside").alias("outsides"),
         F.max("inside").alias("insides"),
-        F.min(F.when(text, F.col("outside"))).alias("first_text"),
-        F.min_by(F.endswith("line", F.lit(RETURN)), "at").alias("returning"),
+        F.min(F.when(F.col("text"), F.col("outside"))).alias("first_text"),
+        F.min_by("returning", "at").alias("returning"),
     )
     # One row per block of a file, so even a very large file is a short list here.
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
@@ -87,7 +95,8 @@ def record_lines(lines: DataFrame) -> DataFrame:
     begins = F.col("turned") == F.col("open")
     number = F.when(F.col("open") == 0, F.col("outside")).otherwise(F.col("inside"))
     return (
-        placed.join(known, ["file", "block"])
+        placed.drop("text", "returning")
+        .join(known, ["file", "block"])
         .withColumn("record", F.col("offset") + number)
         .select(
             "file",
@@ -95,6 +104,7 @@ def record_lines(lines: DataFrame) -> DataFrame:
             "block",
             "at",
             "line",
+            "bytes",
             "record",
             (begins & (F.col("odd") == 0)).alias("whole"),
             (F.col("record") == F.col("first_record")).alias("header"),
@@ -107,10 +117,14 @@ def record_lines(lines: DataFrame) -> DataFrame:
 def records(lines: DataFrame) -> DataFrame:
     """Text of each record, its line ends included: name, header, record. In files whose
     lines end with carriage returns, line ends become plain ones."""
+    # The name is no key, so both branches need the same columns and read one shuffled table.
     joined = (
         lines.where(~F.col("whole"))
-        .groupBy("file", "name", "record", "header", "returns")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("parts"))
+        .groupBy("file", "record", "header", "returns")
+        .agg(
+            F.min("name").alias("name"),
+            F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("parts"),
+        )
         .select("name", "header", "returns", F.array_join("parts.line", "\n").alias("record"))
     )
     alone = lines.where("whole").select("name", "header", "returns", F.col("line").alias("record"))
@@ -148,7 +162,7 @@ def splittable(
         lines.where(~F.col("whole"))
         .groupBy("file", "record")
         .agg(
-            F.sum(F.octet_length("line").cast("bigint")).alias("bytes"),
+            F.sum("bytes").alias("bytes"),
             F.bool_or("unclosed").alias("unclosed"),
         )
     )

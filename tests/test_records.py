@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from reportloom.plans.catalog import QUERIES
 from reportloom.sources import records
 from reportloom.sources.csv import charset, read_feed, scan_text_table
 from tests.conftest import rows
@@ -136,3 +137,9 @@ def test_a_file_of_a_header_alone(spark, tmp_path):
     path = tmp_path / "feed.csv"
     path.write_text('"ke\ny",note\n')
     assert scan_text_table(spark, str(path), "UTF-8", True).isEmpty()
+
+
+def test_both_kinds_of_records_read_one_shuffled_table(spark, sf_dir):
+    df = QUERIES["csv_quoted_breaks"](spark, sf_dir)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
