@@ -37,6 +37,7 @@ UTF32 = "UTF-32"
 PIECES = "array<struct<at:int,units:binary>>"
 # A hash stands above 28 bits of position.
 POSITION_BITS = 28
+POSITIONS = (1 << POSITION_BITS) - 1
 SLOT_SHIFT = 63 - SLOT_BITS
 
 
@@ -70,17 +71,32 @@ def _hashes(chunk: Column) -> Column:
     )
 
 
-def _chosen(h: Column, at: Column) -> Column:
-    """Whether the smallest of WINDOW hashes is the first or the last of them."""
-    first, last = F.get(h, at), F.get(h, at + (WINDOW - 1))
+def _lesser(values: Column, by: int) -> Column:
+    """Each value or the one `by` places on, the lesser of the two; NULL where that is missing."""
+    ahead = F.slice(values, by + 1, F.size(values))
+    return F.zip_with(values, ahead, lambda x, y: F.when(x <= y, x).otherwise(y))
 
-    def smallest(outer: Column, others: range) -> Column:
-        return reduce(Column.__and__, [outer <= F.get(h, at + j) for j in others])
 
-    # The smaller of the two is compared; most comparisons end at the first or second.
-    return F.when(first <= last, smallest(first, range(1, WINDOW - 1))).otherwise(
-        smallest(last, range(WINDOW - 2, 0, -1))
-    )
+def _anchored(h: Column, element) -> Column:
+    """An element of place and hash for each k-mer whose smallest s-mer is its first or last.
+
+    Minima of four hashes are worked out once for all k-mers, which hold two of them each.
+    """
+    half = WINDOW // 2
+
+    def of_window(low: Column, at: Column, fours: Column) -> Column:
+        high, first, last = F.get(fours, at + half), F.get(h, at), F.get(h, at + (WINDOW - 1))
+        chosen = F.when(low < high, first == low).otherwise(
+            (last == high) | ((low == high) & (first == low))
+        )
+        # The two outer s-mers overlap, so they hold the whole k-mer.
+        return F.when(chosen, element(at, F.xxhash64(first, last)))
+
+    def of_all(fours: Column) -> Column:
+        windows = F.slice(fours, 1, F.size(h) - (WINDOW - 1))
+        return F.array_compact(F.transform(windows, lambda low, at: of_window(low, at, fours)))
+
+    return _let(_lesser(h, 1), lambda twos: _let(_lesser(twos, 2), of_all))
 
 
 def _found(text: Column, first: Column, element) -> Column:
@@ -89,14 +105,7 @@ def _found(text: Column, first: Column, element) -> Column:
     def of_chunk(piece: Column) -> Column:
         return _let(
             _hashes(piece["units"]),
-            lambda h: F.transform(
-                F.filter(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda at: _chosen(h, at)),
-                # The two outer s-mers overlap, so they hold the whole k-mer.
-                lambda at: element(
-                    (piece["at"] + at).cast("long"),
-                    F.xxhash64(F.get(h, at), F.get(h, at + (WINDOW - 1))),
-                ),
-            ),
+            lambda h: _anchored(h, lambda at, a: element((piece["at"] + at).cast("long"), a)),
         )
 
     return F.flatten(F.transform(_chunks(text, first), of_chunk))
@@ -116,41 +125,20 @@ def anchors(df: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFra
     )
 
 
-def _packed(text: Column, first: Column) -> Column:
-    """Anchors as numbers: 35 bits of hash above the position."""
-    most = (1 << POSITION_BITS) - 1
+def _packed(text: Column, first: Column, shift: Column | None = None) -> Column:
+    """Anchors as numbers: 35 bits of hash above the position, to which a shift is added."""
+    moved = (lambda p: p) if shift is None else (lambda p: p + shift)
     return _found(
         text,
         first,
         lambda position, anchor: F.shiftleft(
             F.shiftrightunsigned(anchor, POSITION_BITS + 1), POSITION_BITS
-        ).bitwiseOR(F.least(position, F.lit(most))),
+        ).bitwiseOR(F.least(moved(position), F.lit(POSITIONS))),
     )
 
 
-def _numbered(packed: Column) -> Column:
-    """Hashes of anchors with their occurrence numbers, each with its position, from packed
-    anchors in any order."""
-    value = lambda x: F.shiftrightunsigned(x, POSITION_BITS)
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (value(F.get(s, i)) != value(F.get(s, i - 1))),
-        )
-
-        def numbers(b: Column, start: Column, r: Column) -> Column:
-            once = F.coalesce(F.get(b, r + 1), F.size(s)) - start == 1
-            several = F.transform(
-                F.sequence(start, F.coalesce(F.get(b, r + 1), F.size(s)) - 1),
-                lambda i: _slotted(F.get(s, i), i - start),
-            )
-            return F.when(once, F.array(_slotted(F.get(s, start), F.lit(0)))).otherwise(several)
-
-        return _let(starts, lambda b: F.flatten(F.transform(b, lambda start, r: numbers(b, start, r))))
-
-    sorted_runs = _let(F.sort_array(packed), runs)
-    return F.when(F.size(packed) > 0, sorted_runs).otherwise(F.array().cast("array<bigint>"))
+def _position(x: Column) -> Column:
+    return x.bitwiseAND(POSITIONS)
 
 
 def _slotted(packed: Column, number: Column) -> Column:
@@ -158,21 +146,130 @@ def _slotted(packed: Column, number: Column) -> Column:
     the smallest hash."""
     hashed = F.xxhash64(F.shiftrightunsigned(packed, POSITION_BITS), number)
     return F.shiftleft(F.shiftrightunsigned(hashed, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(
-        packed.bitwiseAND((1 << POSITION_BITS) - 1)
+        _position(packed)
+    )
+
+
+def _repeated(s: Column, shared: Column, n: Column) -> Column:
+    """Of sorted packed anchors of both forms, those that have an equal one before them, with
+    their occurrence numbers.
+
+    An edited form's anchor does not count those at positions from `shared` to `n`, which
+    only the text has. Only places of repeated anchors are looked at one by one.
+    """
+    alike = lambda i: F.get(s, i).bitwiseXOR(F.get(s, i - 1)) <= POSITIONS
+
+    def of_run(start: Column, end: Column) -> Column:
+        places = F.sequence(start, end)
+        dropped = F.filter(
+            places, lambda i: (_position(F.get(s, i)) >= shared) & (_position(F.get(s, i)) < n)
+        )
+        return _let(
+            F.size(dropped),
+            lambda less: F.transform(
+                F.slice(places, 2, F.size(places)),
+                lambda i: _slotted(
+                    F.get(s, i),
+                    i - start - F.when(_position(F.get(s, i)) >= n, less).otherwise(F.lit(0)),
+                ),
+            ),
+        )
+
+    def of_places(places: Column) -> Column:
+        # Neighbouring places belong to one run; between two runs lies the next one's first.
+        firsts = F.filter(
+            F.sequence(F.lit(0), F.size(places) - 1),
+            lambda k: (k == 0) | (F.get(places, k) != F.get(places, k - 1) + 1),
+        )
+        return _let(
+            firsts,
+            lambda b: F.flatten(
+                F.transform(
+                    b,
+                    lambda k, r: of_run(
+                        F.get(places, k) - 1,
+                        F.get(places, F.coalesce(F.get(b, r + 1), F.size(places)) - 1),
+                    ),
+                )
+            ),
+        )
+
+    none = F.array().cast("array<bigint>")
+    places = F.when(
+        F.size(s) > 1, F.filter(F.sequence(F.lit(1), F.size(s) - 1), alike)
+    ).otherwise(F.array().cast("array<int>"))
+    return _let(places, lambda p: F.when(F.size(p) > 0, of_places(p)).otherwise(none))
+
+
+def _numbered(s: Column, shared: Column, n: Column) -> Column:
+    """Hashes of sorted packed anchors with their occurrence numbers, each with its position.
+
+    A repeated anchor is also there as a first one: with a hash that its first has at a
+    smaller position, so it is never a minimum.
+    """
+    firsts = F.transform(s, lambda x: _slotted(x, F.lit(0)))
+    return F.concat(firsts, _repeated(s, shared, n))
+
+
+def _low(numbered: Column) -> Column:
+    """Those that are small within their slot, about ten to a slot; all of a few."""
+    share = F.least(F.lit(1.0), F.lit(10.0 * SLOTS) / F.greatest(F.size(numbered), F.lit(1)))
+    bound = (share * float(1 << SLOT_SHIFT)).cast("long")
+    chosen = _let(
+        bound,
+        lambda most: F.filter(
+            numbered, lambda x: x.bitwiseAND((1 << SLOT_SHIFT) - 1) < most
+        ),
     )
+    return F.when(F.size(numbered) > 10 * SLOTS, chosen).otherwise(numbered)
 
 
-def slot_minima(packed: Column) -> Column:
-    """Of packed anchors the smallest in each slot in use, ordered by slot."""
-    slot = lambda x: F.shiftrightunsigned(x, SLOT_SHIFT)
+def _minima(ordered: Column, kept) -> Column:
+    """Of sorted hashes the smallest kept one in each slot in use, ordered by slot."""
     return _let(
-        F.sort_array(_numbered(packed)),
+        F.filter(ordered, kept),
         lambda v: F.filter(
-            v, lambda x, i: (i == 0) | (slot(x) != slot(F.get(v, i - 1)))
+            v,
+            lambda x, i: (i == 0) | (x.bitwiseXOR(F.get(v, i - 1)) >= 1 << SLOT_SHIFT),
         ),
     )
 
 
+def with_minima(df: DataFrame, own: Column, tail: Column) -> DataFrame:
+    """The rows with __a and __b, the slot minima of a text and of its edited form.
+
+    `own` holds the text's packed anchors, `tail` those of the edited form from position
+    __shared on, with positions that go on from n_chars. What both forms share is numbered
+    and hashed once. Every step is a projection, so that arrays are sorted as numbers.
+    Few hashes are small enough to be minima; if those leave a slot empty, all are looked at.
+    """
+    n, shared = F.col("n_chars"), F.col("__shared")
+    of_text = lambda x: _position(x) < n
+    of_edited = lambda x: (_position(x) < shared) | (_position(x) >= n)
+    back = lambda x: F.when(_position(x) >= n, x - (n - shared)).otherwise(x)
+    rows = (
+        df.withColumn("__s", F.sort_array(F.concat(own, tail)))
+        .withColumn("__v", _numbered(F.col("__s"), shared, n))
+        .drop("__s")
+        .withColumn("__w", F.sort_array(_low(F.col("__v"))))
+        .withColumns({"__a": _minima(F.col("__w"), of_text), "__b": _minima(F.col("__w"), of_edited)})
+    )
+    few = (F.size("__w") < F.size("__v")) & (F.least(F.size("__a"), F.size("__b")) < SLOTS)
+    every = F.when(few, F.sort_array("__v"))
+    return (
+        rows.withColumn("__every", every)
+        .withColumns(
+            {
+                "__a": F.coalesce(_minima(F.col("__every"), of_text), F.col("__a")),
+                "__b": F.transform(
+                    F.coalesce(_minima(F.col("__every"), of_edited), F.col("__b")), back
+                ),
+            }
+        )
+        .drop("__v", "__w", "__every")
+    )
+
+
 def entries(slots: Column) -> Column:
     """Slot and 16 bits of hash of each slot in use, as numbers."""
     return F.transform(
@@ -345,20 +442,17 @@ def compare_neighbours(
             F.substring(F.col("__next"), F.lit(1), cut),
         ).alias("__edited"),
     )
-    own = texts.withColumn("__a", _packed(F.col("__text"), F.lit(0)))
+    own = _packed(F.col("__text"), F.lit(0))
     # Before the cut both forms have the same anchors.
-    early = F.filter(
-        "__a", lambda x: x.bitwiseAND((1 << POSITION_BITS) - 1) < F.col("__shared")
-    )
-    tail = _packed(F.col("__edited"), F.col("__shared"))
-    numbered = own.select(
+    tail = _packed(F.col("__edited"), F.col("__shared"), F.col("n_chars") - F.col("__shared"))
+    numbered = with_minima(texts, own, tail).select(
         *key,
         "__guest",
         "__id",
         "n_chars",
         F.sha2("__edited", 256).alias("edited_sha256"),
-        slot_minima(F.col("__a")).alias("__a"),
-        slot_minima(F.concat(early, tail)).alias("__b"),
+        "__a",
+        "__b",
     ).select(
         "*",
         entries(F.col("__a")).alias("__own"),

@@ -248,6 +248,36 @@ def test_fingerprints_equal_brute_force(spark, monkeypatch, chunk):
         assert found[i].near_next == pytest.approx(brute_likeness(own, other))
 
 
+def test_fingerprints_of_long_texts_equal_brute_force(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choices("abc ", k=9000))
+    words = " ".join(f"word{rng.randrange(60)}" for _ in range(900))
+    # Repeated anchors within a text, and ends of one that the edited form takes from the next.
+    texts = [long, long[:100] * 30, words, words + long[:4000], "x" * 3000, "abcd" * 700, long]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in syncmers.compare_neighbours(df).collect()}
+    digits = lambda slots: "".join(f"{s * 65536 + h:06x}" for s, h in sorted(slots.items()))
+    for i, text in enumerate(texts):
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + texts[(i + 1) % len(texts)][:cut]
+        assert found[i].fingerprint == digits(brute_slots(text))
+        assert found[i].edited_fingerprint == digits(brute_slots(edited))
+
+
+def test_slots_that_hold_no_small_hash_are_filled_from_all(spark):
+    # Forty different anchors thousands of times: most small hashes are copies of few.
+    few = "".join(f"{i:03d}" for i in range(50)) * 12
+    df = spark.createDataFrame([(0, few)], "doc_id bigint, text string")
+    found = syncmers.compare_neighbours(df).first()
+    own = brute_slots(few)
+    assert found.fingerprint == "".join(f"{s * 65536 + h:06x}" for s, h in sorted(own.items()))
+
+
+def test_anchors_of_both_forms_are_numbered_once(spark, odd):
+    plan = syncmers.compare_neighbours(odd)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("xxhash64(shiftrightunsigned(") == 2
+
+
 def test_many_rows_without_number_or_with_the_same_one(spark):
     rng = random.Random(4)
     rows = [(None, f"{rng.randrange(10**9)} null") for _ in range(4000)]
