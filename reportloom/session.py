@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128m",
+    # A task holds what it sorts and counts several times over as large as it is shuffled.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # Dimensions are broadcast only while their size stays below this bound.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",

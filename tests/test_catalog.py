@@ -29,3 +29,8 @@ def test_query_equals_statement(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_sorted_and_counted_rows_come_in_small_shares(spark):
+    # A distinct count beside a merge join holds many times the bytes that it reads.
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
