@@ -31,6 +31,8 @@ S, WINDOW = 9, 8
 K = S + WINDOW - 1
 SLOT_BITS = 6
 SLOTS = 1 << SLOT_BITS
+# Hashes per slot that are looked at first.
+PER_SLOT = 10
 CHUNK = 1 << 15
 MARK = "\x02"
 UTF32 = "UTF-32"
@@ -212,8 +214,8 @@ def _numbered(s: Column, shared: Column, n: Column) -> Column:
 
 
 def _low(numbered: Column) -> Column:
-    """Those that are small within their slot, about ten to a slot; all of a few."""
-    share = F.least(F.lit(1.0), F.lit(10.0 * SLOTS) / F.greatest(F.size(numbered), F.lit(1)))
+    """Those that are small within their slot, about PER_SLOT to a slot; all of a few."""
+    share = F.least(F.lit(1.0), F.lit(float(PER_SLOT * SLOTS)) / F.greatest(F.size(numbered), F.lit(1)))
     bound = (share * float(1 << SLOT_SHIFT)).cast("long")
     chosen = _let(
         bound,
@@ -221,7 +223,7 @@ def _low(numbered: Column) -> Column:
             numbered, lambda x: x.bitwiseAND((1 << SLOT_SHIFT) - 1) < most
         ),
     )
-    return F.when(F.size(numbered) > 10 * SLOTS, chosen).otherwise(numbered)
+    return F.when(F.size(numbered) > PER_SLOT * SLOTS, chosen).otherwise(numbered)
 
 
 def _minima(ordered: Column, kept) -> Column:

@@ -264,13 +264,17 @@ def test_fingerprints_of_long_texts_equal_brute_force(spark):
         assert found[i].edited_fingerprint == digits(brute_slots(edited))
 
 
-def test_slots_that_hold_no_small_hash_are_filled_from_all(spark):
-    # Forty different anchors thousands of times: most small hashes are copies of few.
-    few = "".join(f"{i:03d}" for i in range(50)) * 12
-    df = spark.createDataFrame([(0, few)], "doc_id bigint, text string")
+def test_slots_that_hold_no_small_hash_are_filled_from_all(spark, monkeypatch):
+    # With one hash per slot looked at first, some slot is left empty.
+    monkeypatch.setattr(syncmers, "PER_SLOT", 1)
+    text = "".join(random.Random(8).choices("abcd ", k=4000))
+    df = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
     found = syncmers.compare_neighbours(df).first()
-    own = brute_slots(few)
-    assert found.fingerprint == "".join(f"{s * 65536 + h:06x}" for s, h in sorted(own.items()))
+    edited = text[:3000] + text[:1000]
+    for show, form in ((found.fingerprint, text), (found.edited_fingerprint, edited)):
+        own = brute_slots(form)
+        assert len(own) == syncmers.SLOTS
+        assert show == "".join(f"{s * 65536 + h:06x}" for s, h in sorted(own.items()))
 
 
 def test_anchors_of_both_forms_are_numbered_once(spark, odd):
